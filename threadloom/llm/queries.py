@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import copies, near, splits
+from threadloom.llm import copies, encoding, leaks, near, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
@@ -35,5 +35,29 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlap_counts(found, golden, "goldenId", "eval_split", "samplingStratum")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(load(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.without_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(load(spark, d, "documents"))
+
+
+def p10_parts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(load(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
