@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import copies, encoding, leaks, near, spans, splits
+from threadloom.llm import conversations, copies, encoding, leaks, near, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
@@ -20,6 +20,10 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.records(load(spark, d, PAIRS), "customerTextClean")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(load(spark, d, PAIRS))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(load(spark, d, PAIRS), ["customerTextClean", "supportTextClean"])
 
