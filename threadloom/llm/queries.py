@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import conversations, copies, encoding, leaks, near, spans, splits
+from threadloom.llm import consensus, conversations, copies, encoding, leaks, near, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
@@ -20,6 +20,26 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.records(load(spark, d, PAIRS), "customerTextClean")
 
 
+def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
+    return consensus.fit(load(spark, d, "golden_agreement"), load(spark, d, "golden_votes"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d).items.select("golden_id", "label")
+
+
+def p3_items(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d).items
+
+
+def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d).annotators
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement_summary(_consensus(spark, d).items)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(load(spark, d, PAIRS))
 
