@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import consensus, conversations, copies, encoding, leaks, near, spans, splits
+from threadloom.llm import consensus, conversations, copies, encoding, leaks, near, pii, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
@@ -40,6 +41,14 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement_summary(_consensus(spark, d).items)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(load(spark, d, PAIRS), ["customerTextRaw", "supportTextRaw"]).where(F.col("pii_type").isin(*pii.TYPES))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(load(spark, d, PAIRS), ["customerTextRaw", "supportTextRaw"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(load(spark, d, PAIRS))
 
