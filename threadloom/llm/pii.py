@@ -25,7 +25,7 @@ from threadloom.session import ship
 
 THRESHOLD = 0.5
 NEAR = 36  # characters before a span in which a cue counts
-INVISIBLE = re.compile("[­​-‏⁠-⁤︀-️﻿]")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 
 STREET = "street|st|road|rd|avenue|ave|close|lane|ln|drive|dr|court|ct|way|place|pl|crescent|cres|terrace|ter|square|sq|boulevard|blvd|gardens|grove|row|walk|mews|parkway|pkwy|highway|hwy"
 PLAIN_WORDS = frozenset(

@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import consensus, conversations, copies, encoding, leaks, near, pii, spans, splits
+from threadloom.llm import abuse, consensus, conversations, copies, encoding, leaks, near, pii, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(load(spark, d, PAIRS), "customerTextClean")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(load(spark, d, PAIRS), "customerTextClean").select("row_id", F.col("source").alias("ingest_source"), "score")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(load(spark, d, PAIRS), "customerTextClean").withColumnRenamed("source", "ingest_source")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies_found(load(spark, d, PAIRS), "customerTextClean")
 
