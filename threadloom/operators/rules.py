@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import keyword_pattern
+from threadloom.functions.text import keyword_pattern, utf16_length
 
 # The keyword sets of the exploratory label scheme.
 KEYWORDS = {
@@ -19,6 +19,36 @@ KEYWORDS = {
     "billing_purchases": ["charge", "charged", "charges", "billing", "bill", "subscription", "subscribe", "refund", "purchase", "purchased", "receipt", "card", "payment", "paid", "credit"],
 }
 
+# Three topic lists that are counted independently, and the word pairs of boundary cases.
+SUBTOPICS = {
+    "app_store": ["app store", "appstore", "downloading app", "downloading apps", "download app", "download apps", "update app", "update apps", "updating app", "updating apps", "circle spinning"],
+    "third_party": ["youtube", "spotify", "whatsapp", "instagram", "facebook", "twitter app", "snapchat", "netflix"],
+    "first_party": ["camera app", "photos app", "mail app", "notes app", "messages app", "safari app", "maps app"],
+}
+BOUNDARY = [(["update"], ["battery", "screen", "keyboard", "wifi", "bluetooth", "sound"]), (["repair", "bill"], ["screen", "glass", "display"]), (["charge", "card"], ["wifi", "sim", "free app"]), (["music", "spotify"], ["app", "crash", "store"])]
+SHORT = 25
+
+
+def topic_counts(df: DataFrame, text: str, topics: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows per topic; a row may count for several."""
+    m = matched(text, topics or SUBTOPICS)
+    return df.select(F.explode(m).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ambiguous(text: str | Column) -> Column:
+    """Whether a text names both sides of a boundary pair or is short (in UTF-16 units)."""
+    x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    out = utf16_length(x) < SHORT
+    for a, b in BOUNDARY:
+        out = out | (x.rlike(keyword_pattern(a)) & x.rlike(keyword_pattern(b)))
+    return out
+
+
+def first_match(text: str | Column, order: list[str], fallback: str, rules: dict[str, list[str]] | None = None) -> Column:
+    """The first label in the order whose keywords occur, else the fallback."""
+    m = matched(text, rules)
+    return F.coalesce(*[F.when(F.array_contains(m, label), F.lit(label)) for label in order], F.lit(fallback))
+
 
 def matched(text: str | Column, rules: dict[str, list[str]] | None = None) -> Column:
     """Sorted array of the labels any of whose keywords occur as whole words."""

@@ -203,6 +203,28 @@ def f_initial_and_length(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, PAIRS).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(T.is_blank("customerInResponseToId")).alias("n_initial"), F.count_if(F.length(T.clean_text("customerTextRaw")) >= 3).alias("n_long"))
 
 
+_TEXT = '"customerTextClean"'
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS topic, count(*) AS n FROM {PAIRS} WHERE {S.keyword(_TEXT, w)} HAVING count(*) > 0" for k, w in rules.SUBTOPICS.items()))
+def f_subtopics(spark: SparkSession, d: str) -> DataFrame:
+    return rules.topic_counts(load(spark, d, PAIRS), "customerTextClean")
+
+
+@query(
+    f"SELECT row_id FROM {PAIRS} WHERE length(coalesce({_TEXT}, '')) + len(regexp_extract_all(coalesce({_TEXT}, ''), '[\\x{{10000}}-\\x{{10FFFF}}]')) < {rules.SHORT} OR "
+    + " OR ".join(f"({S.keyword(_TEXT, a)} AND {S.keyword(_TEXT, b)})" for a, b in rules.BOUNDARY)
+)
+def f_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, PAIRS).where(rules.ambiguous("customerTextClean")).select("row_id")
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {S.keyword(_TEXT, w)} THEN '{k}'" for k, w in rules.KEYWORDS.items()) + f" ELSE 'other_unclear' END AS label FROM {PAIRS}) GROUP BY label")
+def c_taxonomy_v0(spark: SparkSession, d: str) -> DataFrame:
+    label = rules.first_match("customerTextClean", list(rules.KEYWORDS), "other_unclear")
+    return load(spark, d, PAIRS).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Joins.
 
 _REPLIES = (
@@ -375,6 +397,11 @@ def a_nb_logprob(spark: SparkSession, d: str) -> DataFrame:
     return classify.fit_bayes(_lang_docs(spark, d), "doc_id", "text", "lang").cells.select("label", "term", F.round("logp", 4).alias("logp"))
 
 
+@query(f"{_NB} SELECT label, round(-ln((SELECT count(*) FROM lab)), 6) AS prior, round(ln(0.5 / mass), 4) AS default_logp FROM mass")
+def a_class_prior(spark: SparkSession, d: str) -> DataFrame:
+    return classify.fit_bayes(_lang_docs(spark, d), "doc_id", "text", "lang").classes.select("label", F.round("prior", 6).alias("prior"), F.round("default_logp", 4).alias("default_logp"))
+
+
 @query(f"{_NB} SELECT doc_id, predicted, oov FROM pred")
 def m_nb(spark: SparkSession, d: str) -> DataFrame:
     return _predictions(spark, d).select("doc_id", "predicted", "oov")
@@ -528,6 +555,23 @@ def a_exact_dup_rate(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.countDistinct("qid").alias("n_queries"), F.countDistinct(F.when(F.col("t") == F.col("u"), F.col("qid"))).alias("n_exact"))
 
 
+_LEAK = _bm25_sql(qid='"goldenId"', tok=S.tokens_bm25('"customerTextClean"'), src="golden_set", more="").replace(f"FROM {DOCS}", f"FROM (SELECT row_id AS doc_id, \"customerTextClean\" AS text FROM {PAIRS})")
+
+
+@query(f"{_LEAK} SELECT count(*) AS n_hits, count(DISTINCT qid) AS n_queries, count_if(\"customerTweetId\" = trim(\"tweetId\")) AS n_leaked FROM r JOIN {PAIRS} p ON p.row_id = r.doc_id JOIN golden_set g ON \"goldenId\" = qid WHERE \"rank\" <= 20")
+def j_leak_search(spark: SparkSession, d: str) -> DataFrame:
+    pairs, golden = load(spark, d, PAIRS), load(spark, d, GOLDEN)
+    index = retrieval.fit(pairs.select(F.col("row_id").alias("doc_id"), F.col("customerTextClean").alias("text")))
+    hits = retrieval.search(index, golden, "goldenId", "customerTextClean", 20)
+    both = hits.join(pairs.select(F.col("row_id").alias("doc_id"), "customerTweetId"), "doc_id").join(golden.select("goldenId", F.trim("tweetId").alias("held")), "goldenId")
+    return both.agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("goldenId").alias("n_queries"), F.count_if(F.col("customerTweetId") == F.col("held")).alias("n_leaked"))
+
+
+@query(f"SELECT count(*) AS n_shared FROM golden_set g WHERE EXISTS (SELECT 1 FROM {PAIRS} p WHERE trim(p.\"customerTweetId\") <> '' AND trim(g.\"tweetId\") = trim(p.\"customerTweetId\"))")
+def j_leak_index(spark: SparkSession, d: str) -> DataFrame:
+    return j_golden_found(spark, d).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
 # Windows, samples and sets.
 
 _FIRST = f"(SELECT * FROM {PAIRS} QUALIFY row_number() OVER (PARTITION BY trim(\"customerTweetId\") ORDER BY row_id) = 1)"
