@@ -132,7 +132,7 @@ def signatures(row: np.ndarray, tok: np.ndarray, n_rows: int, counts: np.ndarray
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     # Plain prefixes among small sets, whose few words leave no room for combinations.
-    small = n[row] <= int(SMALL / t) + 1
+    small = (n[row] <= int(SMALL / t) + 1) & (n[row] >= MIN_WORDS)
     place = np.arange(len(row)) - start[row]
     on = small & (place <= probe)
     out.append((row[on], A.mix(tok[on], 21), (place <= index)[on] & (n[row[on]] <= SMALL)))
@@ -371,6 +371,38 @@ def candidates(signed: DataFrame, t: float, scratch: Scratch, cross: bool = Fals
     return pairs.union(blocks.groupBy("sig", "x", "y").applyInArrow(_meet_block(t, cross), "a long, b long")).distinct()
 
 
+def _pick(wanted, inside: bool) -> Callable:
+    """Texts whose node may be in a bitmap (``inside``), or those that surely are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            b = _bit(A.mix(batch.column("node").to_numpy(zero_copy_only=False), 61))
+            yield batch.filter(pa.array(((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0) == inside))
+
+    return run
+
+
+def _node_bitmap(nodes: DataFrame):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(A.signed(A.mix(batch.column("node").to_numpy(zero_copy_only=False), 61)))], names=["sig"])
+
+    spark = nodes.sparkSession
+    return spark.sparkContext.broadcast(bitmap_of(spark, nodes.select("node").mapInArrow(run, "sig long")))
+
+
+def texts_near_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts that include those of the given nodes: a bitmap of fixed size drops most others."""
+    return texts.mapInArrow(_pick(_node_bitmap(nodes), True), texts.schema)
+
+
+def texts_without_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of all other nodes; only those the bitmap cannot decide are shuffled."""
+    bits = _node_bitmap(nodes)
+    return texts.mapInArrow(_pick(bits, False), texts.schema).union(texts.mapInArrow(_pick(bits, True), texts.schema).join(nodes, "node", "left_anti"))
+
+
 def _similar(t: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,24 +421,50 @@ def _similar(t: float) -> Callable:
     return run
 
 
+def _wide_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set sizes and 128 further parity bits."""
+    for batch in batches:
+        for i, j, text in A.chunks(batch.column("text")):
+            x = A.texts_of(text)
+            row, h = A.word_sets(x)
+            n = np.bincount(row, minlength=len(x))
+            bits = [A.signed(_parity(row, A.mix(h, seed), len(x))) for seed in (32, 33)]
+            yield pa.record_batch([batch.column("node").slice(i, j - i), *map(pa.array, (n, *bits))], names=["node", "n", "b1", "b2"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, t: float) -> DataFrame:
-    """The pairs whose whole texts' word sets have a similarity of at least ``t``."""
+    """The pairs whose whole texts' word sets have a similarity of at least ``t``.
+
+    Wider parity bits drop nearly all wrong candidates before any text moves.
+    """
     pairs = scratch.save(pairs)
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = scratch.save(texts.join(ids, "node", "left_semi"))
+    wide = texts_near_nodes(texts, _ends(pairs)).mapInArrow(_wide_parity, "node long, n long, b1 long, b2 long")
+    side = lambda x, c: x.select(F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "b1", "b2")])
+    both = F.col("n_a") + F.col("n_b")
+    allowed = both - 2 * F.ceil(F.lit(t / (1 + t)) * both - EPS)
+    joined = pairs.join(side(wide, "a"), "a").join(side(wide, "b"), "b")
+    differ = [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in ("b1", "b2")]
+    kept = scratch.save(joined.where((differ[0] <= allowed) & (differ[1] <= allowed)).select("a", "b"))
+    scratch.drop(pairs)
+    some = texts_near_nodes(texts, _ends(kept))
     a = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    links = scratch.save(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(t), "a long, b long"))
-    scratch.drop(pairs, some)
+    links = scratch.save(kept.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(t), "a long, b long").distinct())
+    scratch.drop(kept)
     return links
 
 
-def collapse(texts: DataFrame, n_fields: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Copies by word set: ``(keyed rows, slots, representatives' texts)``."""
+def collapse(texts: DataFrame, n_fields: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Copies by word set: ``(node, first_id)`` of all rows of sets with copies, and the texts but for
+    each set's later copies."""
     keyed = scratch.save(texts.mapInArrow(_set_keys(n_fields), "node long, k1 long, k2 long").withColumn("salt", salt("node")))
-    found = scratch.save(slots(keyed, ["k1", "k2"], "node"))
-    reps = scratch.save(texts.join(found.select(F.col("first_id").alias("node")).distinct(), "node", "left_semi"))
-    return keyed, found, reps
+    found = scratch.save(slots(keyed, ["k1", "k2"], "node").where("copies > 1"))
+    copies = scratch.save(keyed.join(found, ["k1", "k2", "salt"]).select("node", "first_id"))
+    return copies, texts_without_nodes(texts, copies.where("node <> first_id").select("node").distinct())
 
 
 def near_groups(df: DataFrame, fields: list[str], row_id: str = "row_id", t: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -416,14 +474,16 @@ def near_groups(df: DataFrame, fields: list[str], row_id: str = "row_id", t: flo
     scratch = Scratch(spark, "near")
     n_fields = len(fields)
     texts = texts_by_node(df, fields, row_id)
-    keyed, found, reps = collapse(texts, n_fields, scratch)
+    copies, reps = collapse(texts, n_fields, scratch)
     counts = spark.sparkContext.broadcast(word_counts(reps, n_fields))
-    signed = reps.mapInArrow(_sign(counts, reps.count(), n_fields, t, 0), SIGN_DDL)
-    links = verify(candidates(signed, t, scratch, hot=hot), reps, scratch, t)
-    scratch.drop(reps)
+    signed = reps.mapInArrow(_sign(counts, texts.count(), n_fields, t, 0), SIGN_DDL)
+    links = verify(candidates(signed, t, scratch, hot=hot), texts, scratch, t)
     roots = components(links, scratch)
-    whole = found.join(roots.select(F.col("node").alias("first_id"), "root"), "first_id", "left").where("copies > 1 or root is not null")
-    members = keyed.join(whole.select("k1", "k2", "salt", F.coalesce("root", "first_id").alias("root")), ["k1", "k2", "salt"]).where("node <> root")
+    # A first row's root holds for its copies: the copies of one set are spread over slots of rows.
+    spread = copies.where("node <> first_id").withColumn("salt", salt("node"))
+    firsts = spread.select("first_id", "salt").distinct().join(roots.select(F.col("node").alias("first_id"), "root"), "first_id")
+    later = spread.join(firsts, ["first_id", "salt"], "left").select("node", F.coalesce("root", "first_id").alias("root"))
+    members = roots.union(later).where("node <> root")
     names = F.array(*[F.lit(f) for f in fields])
     return members.select(
         F.get(names, F.pmod("node", F.lit(n_fields)).cast("int")).alias("text_field"),
