@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import abuse, consensus, conversations, copies, encoding, leaks, near, pii, spans, splits
+from threadloom.llm import abuse, consensus, conversations, copies, encoding, leaks, near, pii, sessions, spans, splits
 from threadloom.session import load
 
 PAIRS = "applesupport_pairs"
@@ -65,6 +65,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(load(spark, d, PAIRS))
 
 
+def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sessions_by_gap(load(spark, d, "tweets"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(load(spark, d, PAIRS), ["customerTextClean", "supportTextClean"])
 
