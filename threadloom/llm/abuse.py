@@ -7,9 +7,9 @@ digits for letters, separators or spaces inside words, repeated letters); every
 long message counts and the whole text is read.
 
 The labelled text is ``abuse_examples``, a bounded set (``PER_PATTERN`` fillings of each pattern,
-embedded in neutral text). Ordinary language of the corpus is learned from ``BACKGROUND`` of its rows,
-those with the smallest hashes of their ids: random windows of them count as not abusive, because so
-few windows are. Training is deterministic and runs once on the driver; the model broadcast has a
+embedded in neutral text). Ordinary language of the corpus is learned from about ``BACKGROUND`` of its
+rows, picked by a hash of their ids: random windows of them count as not abusive, because so few
+windows are. Training is deterministic and runs once on the driver; the model broadcast has a
 fixed size (``2**BITS`` weights). Scores and rates cover every row.
 
 Defined results: null texts and texts without a word score 0; ties keep the first window; repeated rows
@@ -238,8 +238,10 @@ def scores(df: DataFrame, text: str, source: str = "ingest_source", row_id: str
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    sample = rows.where("text is not null").orderBy(F.xxhash64("row_id"), "row_id", "text").limit(BACKGROUND).select("text")
-    model = spark.sparkContext.broadcast(train([r[0] for r in sample.collect()]))
+    # A hash threshold picks about BACKGROUND rows where they lie, so no task sends more than its share.
+    share = min(1.0, BACKGROUND / max(rows.count(), 1))
+    sample = rows.where((F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull()).select("row_id", "text")
+    model = spark.sparkContext.broadcast(train([r[1] for r in sorted(sample.limit(2 * BACKGROUND).collect())]))
     return rows.mapInArrow(_score(model), "row_id long, source string, score double")
 
 
