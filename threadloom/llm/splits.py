@@ -85,13 +85,14 @@ def overlaps(evals: DataFrame, train: DataFrame, eval_key: str, eval_id: str, tr
     local = sets.groupBy("k1", "k2", side.alias("side"), "salt").agg(F.min("node").alias("m"))
     first = local.groupBy("k1", "k2", "side").agg(F.min("m").alias("first"), F.collect_list("salt").alias("salts"))
     found = scratch.save(first.select("k1", "k2", "side", F.explode("salts").alias("salt"), "first"))
-    reps = scratch.save(both.join(found.select(F.col("first").alias("node")).distinct(), "node", "left_semi"))
+    later = found.join(sets, ["k1", "k2", "salt"]).where((side == F.col("side")) & (F.col("node") != F.col("first"))).select("node").distinct()
+    reps = N.texts_without_nodes(both, later)
     counts = spark.sparkContext.broadcast(N.word_counts(reps, 1))
-    n_sets = reps.count()
+    n_sets = both.count()
     e_signed = scratch.save(reps.where(side == 1).mapInArrow(N._sign(counts, n_sets, 1, t, 1), N.SIGN_DDL))
     wanted = spark.sparkContext.broadcast(N.bitmap_of(spark, e_signed))
     t_signed = reps.where(side == 0).mapInArrow(N._sign(counts, n_sets, 1, t, 0, wanted), N.SIGN_DDL)
-    links = N.verify(N.candidates(e_signed.union(t_signed), t, scratch, cross=True), reps, scratch, t)
+    links = N.verify(N.candidates(e_signed.union(t_signed), t, scratch, cross=True), both, scratch, t)
     is_eval = F.pmod("a", F.lit(2)) == 1
     links = links.select(F.when(is_eval, F.col("a")).otherwise(F.col("b")).alias("e"), F.when(is_eval, F.col("b")).otherwise(F.col("a")).alias("r"))
     # Links between first rows are opened to their copies, slot by slot.
