@@ -219,11 +219,15 @@ def _bit(sig: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(spark, values: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (``2**BITMAP`` bits) of a frame of 64-bit ``sig`` values."""
-    got = values.select(F.shiftrightunsigned("sig", 64 - BITMAP).alias("b")).distinct().toArrow()["b"].to_numpy()
-    bits = np.zeros(1 << BITMAP, np.uint8)
-    bits[got] = 1
-    return np.packbits(bits, bitorder="little")
+    """A bitmap of fixed size (``2**BITMAP`` bits) of a frame of 64-bit ``sig`` values.
+
+    Bits are united by a combining aggregate; at most ``2**(BITMAP - 6)`` words reach the driver.
+    """
+    at = values.select(F.shiftrightunsigned("sig", 64 - BITMAP).alias("b"))
+    word = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (BITMAP - 6), np.int64)
+    bits[word["w"].to_numpy()] = word["bits"].to_numpy()
+    return bits.view(np.uint8)
 
 
 def _pairs_in(sig, node, meta, bits, t: float, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
