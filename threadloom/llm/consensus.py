@@ -117,8 +117,9 @@ def _sums(sigma: np.ndarray, alpha: float):
                 np.add.at(hits, ann, x)
                 np.add.at(misfit, ann, x - w[:, :, None] * p)
                 np.add.at(size, ann, w)
-        at = np.flatnonzero(size.sum(1))
-        yield pa.record_batch([pa.array(at)] + [pa.array(list(z[at].reshape(len(at), -1)), pa.list_(pa.float64())) for z in (hits, misfit, size)], names=["ann", "hits", "misfit", "size"])
+        cells = np.concatenate([hits.reshape(a, -1), misfit.reshape(a, -1), size], axis=1)
+        ann, cell = np.nonzero(cells)
+        yield pa.record_batch([pa.array(ann), pa.array(cell), pa.array(cells[ann, cell])], names=["ann", "cell", "value"])
 
     return run
 
@@ -172,11 +173,10 @@ def fit(agreement: DataFrame, votes: DataFrame) -> Consensus:
         return s
 
     def gather(sigma: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
-        rows = items.mapInArrow(_sums(sigma, alpha), "ann long, hits array<double>, misfit array<double>, size array<double>").groupBy("ann").agg(add("hits", k * k), add("misfit", k * k), add("size", k)).collect()
-        hits, misfit, size = np.zeros((len(names), k, k)), np.zeros((len(names), k, k)), np.zeros((len(names), k))
-        for r in rows:
-            hits[r[0]], misfit[r[0]], size[r[0]] = np.reshape(r[1], (k, k)), np.reshape(r[2], (k, k)), r[3]
+        rows = items.mapInArrow(_sums(sigma, alpha), "ann long, cell long, value double").groupBy("ann", "cell").agg(F.sum("value").alias("value")).toArrow()
+        cells = np.zeros((len(names), 2 * k * k + k))
+        cells[rows["ann"].to_numpy(), rows["cell"].to_numpy()] = rows["value"].to_numpy()
+        hits, misfit, size = cells[:, : k * k].reshape(-1, k, k), cells[:, k * k : 2 * k * k].reshape(-1, k, k), cells[:, 2 * k * k :]
         return hits, misfit, size
 
     acc = np.full(len(names), 0.7)
