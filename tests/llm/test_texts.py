@@ -159,3 +159,17 @@ def test_abuse_edge_cases(spark):
     got = {r.source: (r.n_rows, r.n_abusive) for r in abuse.rates(df, "text").collect()}
     assert got == {"s": (3, 1), None: (1, 0)}
     assert abuse.rates(df.limit(0), "text").count() == 0
+
+
+def test_abuse_score_does_not_depend_on_the_table(spark):
+    bad, ddl = "go to hell you stupid morons", "row_id long, text string, ingest_source string"
+    alone = abuse.scores(spark.createDataFrame([(0, bad, "s")], ddl), "text").first().score
+    rows = [(i, bad if i % 3 == 0 else f"my phone {i} drains within an hour", "s") for i in range(300)]
+    got = {r.row_id: r.score for r in abuse.scores(spark.createDataFrame(rows, ddl), "text").collect()}
+    assert {s for i, s in got.items() if i % 3 == 0} == {alone} and alone >= abuse.THRESHOLD
+    assert max(s for i, s in got.items() if i % 3) < abuse.THRESHOLD
+
+
+def test_abuse_knows_ordinary_talk_without_the_corpus(model):
+    fine = ["The shop in Brunport had no answer. Nobody at the desk could help. My number is 206 555 0123", "My old ipad shows somebody else's backup list since Monday. I tried a full reset and another cable"]
+    assert (model.scores(fine) < abuse.THRESHOLD).all()

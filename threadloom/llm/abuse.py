@@ -7,10 +7,10 @@ digits for letters, separators or spaces inside words, repeated letters); every
 long message counts and the whole text is read.
 
 The labelled text is ``abuse_examples``, a bounded set (``PER_PATTERN`` fillings of each pattern,
-embedded in neutral text). Ordinary language of the corpus is learned from about ``BACKGROUND`` of its
-rows, picked by a hash of their ids: random windows of them count as not abusive, because so few
-windows are. Training is deterministic and runs once on the driver; the model broadcast has a
-fixed size (``2**BITS`` weights). Scores and rates cover every row.
+embedded in neutral text, and random windows of ``BACKGROUND`` ordinary messages, labelled not abusive as
+they were written). No row of the corpus is trained on, so a text's score does not depend on the table.
+Training is deterministic and runs once per driver process; the model broadcast has a fixed size
+(``2**BITS`` weights). Scores and rates cover every row.
 
 Defined results: null texts and texts without a word score 0; ties keep the first window; repeated rows
 are scored each; very long texts are scored whole; empty tables give empty results.
@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,9 @@ PENALTY = 2e-6
 STEPS = 150
 THRESHOLD = 0.7
 SEED = 11
-BACKGROUND = 4_000  # rows
+BACKGROUND = 4_000  # ordinary messages
 PER_ROW = 5  # windows of each
-SHARES = (0.25, 0.35, 0.4)  # of the training weight: abusive, labelled other, background
+SHARES = (0.25, 0.35, 0.4)  # of the training weight: abusive, labelled other, ordinary messages
 
 _LOOK = str.maketrans("асеорхуіѕјԁһкмтвнɡαοερνικτωυ", "aceopxyisjdhkmtbngaoepviktwu")
 _LEET = str.maketrans("01345789@$!|€£", "oieastbgasiiel")
@@ -184,9 +185,10 @@ def background_windows(texts: list[str], seed: int = SEED) -> list[str]:
     return out
 
 
-def train(background: list[str] = (), per_pattern: int = PER_PATTERN, seed: int = SEED) -> Model:
+@cache
+def train(per_pattern: int = PER_PATTERN, seed: int = SEED) -> Model:
     texts, y = training_windows(per_pattern, seed)
-    ordinary = background_windows(list(background), seed)
+    ordinary = background_windows(X.messages(BACKGROUND, seed), seed)
     texts, y = texts + ordinary, np.concatenate([y, np.zeros(len(ordinary))])
     g = Grams(texts)
     feats, rows = [], []
@@ -238,10 +240,7 @@ def scores(df: DataFrame, text: str, source: str = "ingest_source", row_id: str
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    # A hash threshold picks about BACKGROUND rows where they lie, so no task sends more than its share.
-    share = min(1.0, BACKGROUND / max(rows.count(), 1))
-    sample = rows.where((F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull()).select("row_id", "text")
-    model = spark.sparkContext.broadcast(train([r[1] for r in sorted(sample.limit(2 * BACKGROUND).collect())]))
+    model = spark.sparkContext.broadcast(train())
     return rows.mapInArrow(_score(model), "row_id long, source string, score double")
 
 

@@ -3,7 +3,8 @@
 A passage is a pattern with slots; ``expand`` fills the slots in a fixed pseudo-random order. Positive
 passages insult or curse a person or the staff, threaten or wish harm, demean a group, or are sexual
 remarks or demands. Negative ones swear at devices or the situation, mock the speaker, mention such
-topics soberly, or are ordinary support talk.
+topics soberly, or are ordinary support talk. ``ORDINARY`` holds further ordinary talk, whole messages of
+which ``messages`` makes.
 """
 
 from __future__ import annotations
@@ -316,6 +317,224 @@ i used to love this thing
 i miss my {pseudo} phone
 """
 
+_DEVICE = "{model}|{model}|{model}|{model} 0|{pseudo} {model}|ipod|ipad|iphone|macbook|watch series 0|tv box|homepod|airpods|imac"
+
+ORDINARY_SLOTS = {
+    "device": _DEVICE.split("|"),
+    "owner": "my|our|the|this|the new|my {kin}'s|my new|my old".split("|"),
+    "problem": (
+        "shows a payment of 0|keeps billing 0|became slow with 0|lost its settings with version 0|won't install version 0|stops podcasts after ten seconds|repeats the space key|"
+        "drives everyone here up the wall|shows no service downtown|just gave up|crackles during every call|can't find any network|asks for the update every evening|rejects the gift voucher|"
+        "lost my text shortcuts|hides my shared notes|acts strangely|dies at 0 percent|refuses the verification code|freezes inside {pseudo}|autocorrects every second word|"
+        "failed the update with code 0|seems haunted|isn't what the advert promised|suggests words in another language|drops the volume on its own|shows a flat battery after lunch|"
+        "has a stuck home button|cracked without any fall|won't join the office network|charged me twice for {pseudo}|hides the keyboard in {pseudo}|has green lines across the screen|"
+        "gets burning hot on the charger|makes no sense to me|records nothing but hiss|runs out of space during the update|will not accept my new card|shows a black screen after a call|"
+        "keeps asking for the cloud password|skips songs in my playlist|drops the wifi every few minutes|lost the receipt for {pseudo}|loses the bluetooth link with my car|"
+        "keeps forgetting the router password|closes {app} the moment it opens|ignores touches near the top edge|lost half of my cloud photos|lost its auto brightness|"
+        "leaves {pseudo} greyed out and waiting|won't switch on without the cable|got stuck on the progress bar|locks my account after one wrong guess|swaps full stops and commas|"
+        "shows somebody else's backup list|loses 0 percent while idle|crashes whenever {app} loads a map|renewed a plan i cancelled|takes all night to charge|does its own thing|"
+        "deletes my saved games in {pseudo}|bills me in the wrong currency|charges only when it is off|lost the microphone completely|lags behind my typing|"
+        "won't finish restoring the cloud backup|rotates the picture at random|feels slower than my old one|flickers when it is cold|refuses to update {pseudo}|switches the hotspot off again|"
+        "sends no messages without wifi|can't download {app} from the store|plays no sound through the left speaker|shows {pseudo} twice on the home page|"
+        "pauses {pseudo} whenever i plug in headphones|restarts in a loop after the update|says the sign in has expired again|drains from 0 to 0 percent within an hour|"
+        "types a symbol in place of the letter i|turns itself off in the cold|won't pair with my car|does not ring any more|has no sound on calls|keeps losing signal at home"
+    ).split("|"),
+    "when": "|since monday|since tuesday morning|since friday night|since {day} afternoon|since i installed {app}|since i left {town}|ever since the trip to {town}|after my move to {town}|around 0 every day|for 0 days now|for 0 weeks now|for 0 hours now|again".split("|"),
+    "day": "monday|tuesday|wednesday|thursday|friday|saturday|sunday".split("|"),
+    "step": (
+        "cleaning the port|removing the case|turning bluetooth off|another cable|a friend's charger|waiting 0 hours|an older backup|restarting it twice|safe mode|erasing all settings|"
+        "a different socket|a full reset|switching languages|airplane mode|the steps in your guide|clearing 0 photos|deleting {app}|a new sim card|the desktop program|disabling {app}|"
+        "reading the forum thread by {pseudo}|signing out and in|calling the shop in {town}|logging in at the {town} library"
+    ).split("|"),
+    "link": "and|then|plus".split("|"),
+    "tried": "even after|i tried|tried|no luck with|already did".split("|"),
+    "tag": "{pseudo}|{pseudo} {pseudo}|{pseudo} {pseudo} {pseudo}|tags {pseudo} {pseudo} {pseudo}".split("|"),
+    "number": "0|0 0 0|0 0 0 0|{pseudo} 0".split("|"),
+    "road": "street|road|avenue|boulevard|lane|drive|way|close|court|square|terrace|st|rd|ave|blvd|ln".split("|"),
+    "app": "{pseudo}io|{pseudo}ify|{pseudo}ix|{pseudo}ly|{pseudo}bo|{pseudo}".split("|"),
+    "person": "{first} {pseudo}|{first} {initial} {pseudo}|{first} {pseudo}{ending}|{first} {initial} {pseudo}{ending}".split("|"),
+    "first": "anna|john|maria|peter|wilma|omar|nadia|james|lucy|carlos|emma|david|fatima|thomas|sofia|ahmed|laura|ivan|grace|paul|petra|quentin|isla|noah|yusuf|clara|hugo|mina|oscar|elena".split("|"),
+    "initial": list("abcdefghjklmnoprstw"),
+    "ending": "worth|son|field|wood|land|berg|man|strand|well|stone".split("|"),
+    "town": "{place}|{place}|{pseudo}wick|{pseudo}dale|{pseudo}bridge|{pseudo}burg".split("|"),
+}
+
+TROUBLE = [
+    "{owner} {device} {problem} {when}",
+    "{owner} {device} i bought in {town} {problem} {when}",
+    "{owner} {device} from {town} {problem} {when}",
+    "device {model} problem {problem} near {town} {when}",
+]
+TRIED = ["{tried} {step} {link} {step}", "{tried} {step}"]
+
+# Ordinary support talk, one sentence a line, every one labelled not abusive as it was written.
+ORDINARY = """
+the {pseudo} adapter is brand new
+the {pseudo} case was still on
+it sits on a {pseudo} stand all day
+i bought it at the {pseudo} market
+i pay for {app} every month
+{app} was open at the time
+it happens mostly inside {app}
+i only use it for {app} and {app}
+i need it for work in {town}
+it started on the train to {town}
+nobody at the {town} desk could help
+the shop in {town} had no answer
+we are travelling between {town} and {town}
+everyone in {town} is laughing
+do i have to visit {town}
+the same happened with {app} last {day}
+the warranty from {town} ended {day}
+it was a gift from my {kin}
+it ruined my {day}
+please respond before {day}
+my {kin} in {town} has the same trouble
+my {kin} dropped it near {town}
+on version 0 with 0 songs
+build 0 a 0 on version 0
+the ticket word is {pseudo} {pseudo}
+model tag {pseudo} 0
+network name {pseudo} 0
+is 0 safe to install
+can someone look into this
+am i the only one
+when will this be sorted
+could a {pseudo} reset help
+should i replace it
+how do i undo it
+is there a fix coming
+this is getting tiring
+what should i try next
+who do i contact about this
+my patience is gone
+i miss my {pseudo} phone
+will i lose my {pseudo} data
+not a great start to the week
+feeling lost here
+thanks for nothing so far
+can you send me a guide
+any advice
+so annoying
+this can't be normal
+please tell me how to get {app} back
+it worked fine before
+i am really disappointed
+i expected better
+ten out of ten for trouble
+i used to love this thing
+also still broken as said
+second try hello again
+hi any news cheers thanks in advance regards
+tracking zx 0 order w 0 serial c 0 invoice 0
+case 0 is still open part no 0 ratio 0
+at 0 hour charge mode it cost 0
+error 0 0 0 restarted it 0 times on 0
+call me on {number} please
+text {number} please
+my number is {number}
+whatsapp {number} mobile {number}
+ring {number} after six
+tel {number}
+my social is 0 0 0 ssn 0 0 0
+my tax number {number} passport no {number}
+my passport number is x 0
+licence number d 0 0 0
+national insurance number is qq 0 c
+identity card number {number}
+i live at 0 {pseudo} {road} flat 0
+ship it to 0 {pseudo} {road} {town}
+deliver to 0 {pseudo} {road} in {town}
+we moved to 0 {pseudo} {road} apt 0
+pick it up at 0 {pseudo} {road}
+my address 0 {pseudo} {road}
+meeting at {pseudo} street station
+my mail is {pseudo} {pseudo} at example dot com
+write to {pseudo} at example dot org
+reach me at {pseudo} at {pseudo} dot net
+email {pseudo} {pseudo} 0
+the login {pseudo} is locked
+my name is {person}
+name {person} place {town}
+account holder {person}
+ask for {person}
+it's registered to {person}
+this is {person}
+read it in the {pseudo} {pseudo} guide
+the golden {pseudo} case and 0 {pseudo} points
+attack mode in {app} crashes
+the cockpit view in {pseudo} is black
+hit me with your best tip
+shoot me a dm
+the {kin} i follow for tips had no answer
+last check asked for my social
+sent from my {device}
+my {kin} says the breast pump app {pseudo} stopped syncing
+hello i have a question about my bill
+hello i would like to know why i was charged twice
+could you please check my order
+i have been waiting for a reply since {day}
+thank you for your help it works now
+thanks that fixed it
+the agent i spoke to was very helpful
+your team told me to come back on {day}
+you said it would arrive on {day}
+you told me to restart it and i did
+you can see the screenshot i sent
+are you open on {day}
+do you have this in stock in {town}
+can i return it without the box
+where can i find my receipt
+how long does the repair take
+what is the price of a new battery
+i want to change my email address
+i want to cancel my subscription
+i would like a refund please
+i cannot log in to my account
+i forgot my password again
+the delivery was late and the box was damaged
+the parcel has not arrived yet
+my card was declined at the checkout
+the website shows an error at the last step
+the new version is slower than the old one
+the video call has no picture
+my photos are gone after the update
+the alarm did not go off this morning
+i spoke to your support on {day} and nothing changed
+please send me a new code
+please call me back when you can
+we will come to the shop in {town} on {day}
+my {kin} will pick it up
+your people in {town} were kind and quick
+your staff in {town} replaced it at once
+what are you doing about the battery problem
+you should fix the keyboard in the next version
+you need to update the page about {pseudo}
+i hope you can fix it soon
+i hope there is an answer
+i will try it tonight and write again
+i will wait for the next update
+i will switch to another phone next year
+next time i will buy a different case
+nobody at the {town} desk could help me
+nobody at the shop knew why
+nobody at {town} picked up the phone
+nobody in the office has this trouble
+nobody told me about the fee
+somebody else has my backup list
+somebody else's name is on the account
+somebody at the shop replaced the cable
+somebody from {town} called me back
+it takes all night to charge
+it takes half the day
+the recording has nothing but hiss
+it lost half of my files
+tell me which cable i need
+show me how to turn it off
+show me where the setting is
+send me the link again
+"""
+
 _ONSETS = "b c d f g h j k l m n p r s t v w y z br cl cr dr fl fr gl gr kl pl pr sk sl sp st tr th ch".split()
 _VOWELS = "a e i o u ai ea ia io oa oo ou au ee".split()
 _CODAS = " b d f g k l m n p r s t x z ck nd rt rk st zz".split(" ")
@@ -330,7 +549,7 @@ def fill(pattern: str, rng: random.Random) -> str:
         a = pattern.rindex("{")
         b = pattern.index("}", a)
         name = pattern[a + 1 : b]
-        pattern = pattern[:a] + (pseudo_word(rng) if name == "pseudo" else rng.choice(SLOTS[name])) + pattern[b + 1 :]
+        pattern = pattern[:a] + (pseudo_word(rng) if name == "pseudo" else rng.choice(SLOTS.get(name) or ORDINARY_SLOTS[name])) + pattern[b + 1 :]
     return pattern
 
 
@@ -380,3 +599,26 @@ def carriers(rng: random.Random) -> str:
     """A neutral passage to embed an example in."""
     plain = NEGATIVE.strip().splitlines()
     return fill(plain[rng.randrange(len(plain))], rng)
+
+
+def slip(word: str, rng: random.Random) -> str:
+    """A typing slip in about one word of fifty; numbers get digits."""
+    if word.strip(".") == "0":
+        return word.replace("0", str(rng.randint(10, 9999)))
+    if len(word) < 3 or rng.random() > 0.02:
+        return word
+    k = rng.randrange(len(word) - 1)
+    return rng.choice((word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k + 1 :], word + rng.choice("aesty")))
+
+
+def messages(n: int, seed: int) -> list[str]:
+    """``n`` ordinary messages: a trouble, what was tried, other ``ORDINARY`` sentences, sometimes a tail of invented words."""
+    rng = random.Random(seed)
+    lines = ORDINARY.strip().splitlines()
+    out = []
+    for _ in range(n):
+        parts = rng.sample(lines, rng.randint(1, 6)) + rng.sample(TROUBLE, 1) + rng.sample(TRIED, rng.randint(0, 1))
+        rng.shuffle(parts)
+        text = ". ".join(fill(p, rng) for p in parts + ["{tag}"] * rng.randint(0, 4))
+        out.append(" ".join(slip(w, rng) for w in text.split()))
+    return out
