@@ -5,6 +5,7 @@ import math
 import pytest
 
 from threadloom.operators import classify, metrics, pairing, ranking, retrieval, rules, sampling
+from threadloom.plans.catalog import QUERIES
 from threadloom.sources import files
 from threadloom.streaming import ingest
 
@@ -133,3 +134,10 @@ def test_stream_join_and_sessions(spark, tmp_path):
     seen = []
     ingest.each_batch(joined, lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "s")).awaitTermination()
     assert seen == ["1"]
+
+
+def test_code_fence_query_covers_fenced_and_null_texts(spark, tmp_path):
+    texts = ["a", "see\n```\nx\n```\nend", "```\nx\n```", None, "", "ends with ```"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.body for r in QUERIES["strip_code_fence_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(texts))

@@ -156,6 +156,12 @@ def strip_code_fence(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.strip_code_fence(F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).alias("body"))
 
 
+# The same over the whole table: fences inside a text stay, a null text has a null body.
+@query(f"SELECT doc_id, {S.trim_all('text')} AS body FROM {DOCS}")
+def strip_code_fence_all(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, DOCS).select("doc_id", T.strip_code_fence(F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).alias("body"))
+
+
 @query("SELECT event_id, length(props) AS n_chars FROM events WHERE json_valid(props)")
 def json_parse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", F.length("props").cast("long").alias("n_chars"))
