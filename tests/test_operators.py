@@ -141,3 +141,9 @@ def test_code_fence_query_covers_fenced_and_null_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.body for r in QUERIES["strip_code_fence_all"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(texts))
+
+
+def test_dup_rate_covers_queries_without_language(spark, tmp_path):
+    docs = [(0, "The screen flickers", None), (1, "the screen flickers ", "en"), (100, "battery drains fast", "en"), (101, "battery is fine", "en"), (200, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(QUERIES["a_exact_dup_rate_all"](spark, str(tmp_path))) == [(3, 1)]

@@ -532,9 +532,9 @@ def w_monotone_check(spark: SparkSession, d: str) -> DataFrame:
     return ranking.monotone(r_search(spark, d), "item_id", "rank", "score")
 
 
-def _self_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _self_hits(spark: SparkSession, d: str, chosen: str = "doc_id % 100 = 0 and lang is not null") -> tuple[DataFrame, DataFrame]:
     docs = load(spark, d, DOCS)
-    queries = docs.where("doc_id % 100 = 0 and lang is not null").select(F.col("doc_id").alias("qid"), F.col("text").alias("q_text"), F.lower("lang").alias("q_lang"))
+    queries = docs.where(chosen).select(F.col("doc_id").alias("qid"), F.col("text").alias("q_text"), F.lower("lang").alias("q_lang"))
     scored = retrieval.scores(retrieval.fit(docs), queries, "qid", "q_text").where("doc_id <> qid")
     hits = retrieval.top_k(scored, "qid", max(KS)).join(queries.select("qid", "q_lang"), "qid").join(docs.select("doc_id", F.lower("lang").alias("lang")), "doc_id")
     return hits, queries.agg(F.count(F.lit(1)).alias("n_queries"))
@@ -550,15 +550,32 @@ def a_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.recall_at(hits, n, "qid", F.coalesce(F.col("lang") == F.col("q_lang"), F.lit(False)), KS)
 
 
+def _exact_dups(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """The query and hit ids of ``hits`` with their trimmed lower-case texts ``u`` and ``t``."""
+    docs = load(spark, d, DOCS)
+    norm = F.lower(F.trim("text"))
+    return hits.select("qid", "doc_id").join(docs.select("doc_id", norm.alias("t")), "doc_id").join(docs.select(F.col("doc_id").alias("qid"), norm.alias("u")), "qid")
+
+
 @query(
     f"{_SELF} SELECT count(DISTINCT qid) AS n_queries, count(DISTINCT CASE WHEN lower(trim(d.text)) = lower(trim(q.text)) THEN qid END) AS n_exact FROM r JOIN {DOCS} d ON d.doc_id = r.doc_id JOIN {DOCS} q ON q.doc_id = qid WHERE \"rank\" <= 10"
 )
 def a_exact_dup_rate(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, DOCS)
-    norm = F.lower(F.trim("text"))
     hits, _ = _self_hits(spark, d)
-    both = hits.select("qid", "doc_id").join(docs.select("doc_id", norm.alias("t")), "doc_id").join(docs.select(F.col("doc_id").alias("qid"), norm.alias("u")), "qid")
-    return both.agg(F.countDistinct("qid").alias("n_queries"), F.countDistinct(F.when(F.col("t") == F.col("u"), F.col("qid"))).alias("n_exact"))
+    return _exact_dups(spark, d, hits).agg(F.countDistinct("qid").alias("n_queries"), F.countDistinct(F.when(F.col("t") == F.col("u"), F.col("qid"))).alias("n_exact"))
+
+
+_SELF_ALL = _bm25_sql(qid="doc_id", tok=S.tokens_bm25("text"), src=f"{DOCS} WHERE doc_id % 100 = 0", more="AND doc_id <> qid")
+
+
+# The same over every hundredth document, whatever its language; those without any hit are counted too.
+@query(
+    f"{_SELF_ALL} SELECT (SELECT count(*) FROM {DOCS} WHERE doc_id % 100 = 0) AS n_queries, count(DISTINCT CASE WHEN lower(trim(d.text)) = lower(trim(q.text)) THEN qid END) AS n_exact FROM r JOIN {DOCS} d ON d.doc_id = r.doc_id JOIN {DOCS} q ON q.doc_id = qid WHERE \"rank\" <= 10"
+)
+def a_exact_dup_rate_all(spark: SparkSession, d: str) -> DataFrame:
+    hits, n = _self_hits(spark, d, "doc_id % 100 = 0")
+    exact = _exact_dups(spark, d, hits).agg(F.countDistinct(F.when(F.col("t") == F.col("u"), F.col("qid"))).alias("n_exact"))
+    return n.crossJoin(exact)
 
 
 _LEAK = _bm25_sql(qid='"goldenId"', tok=S.tokens_bm25('"customerTextClean"'), src="golden_set", more="").replace(f"FROM {DOCS}", f"FROM (SELECT row_id AS doc_id, \"customerTextClean\" AS text FROM {PAIRS})")
