@@ -71,6 +71,13 @@ def test_copies_edge_cases(spark):
     assert {tuple(r) for r in C.records(frame(spark, texts), "t").where("n_copies > 1").collect()} == {(1, 3), (8, 2), (10, 3), (15, 2)}
 
 
+def test_copies_joined_through_a_record_of_the_plain_first_row(spark):
+    texts = ["a1b2c3", "b: 2; a: 1; c: 3", "a: 1; b: 2; c: 3", "A1 B2 C3", "b2a1c3", "a: 1; c: 3; b: 2"]
+    got = {tuple(r) for r in C.copies_found(frame(spark, texts), "t").collect()}
+    assert got == {(1, n) for n in range(2, 7)}
+    assert [tuple(r) for r in C.records(frame(spark, texts), "t").collect()] == [(1, 6)]
+
+
 def test_copies_of_empty_and_repeated(spark):
     assert C.copies_found(frame(spark, ["a"]).limit(0), "t").count() == 0
     twice = frame(spark, ["same", "Same."]).union(frame(spark, ["same", "Same."]))

@@ -117,6 +117,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("row_id").slice(i, j - i), batch.column("first_id").slice(i, j - i), pa.array(ok)], names=["row_id", "first_id", "ok"])
 
 
+def _content(text: str) -> str:
+    fold = A.fold_table()
+    return "".join(chr(c) for c in (fold[ord(x)] for x in (text.lower() if "Σ" in text else text)) if c)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact ordered content of each row and, of records, the sorted contents of its fields."""
+    for batch in batches:
+        for i, j, text in A.chunks(batch.column("text")):
+            texts = text.to_pylist()
+            fields = [fields_of(t) for t in texts]
+            free = ["|" + "|".join(sorted(filter(None, map(_content, f)))) if f else None for f in fields]
+            yield pa.record_batch([batch.column("row_id").slice(i, j - i), pa.array([_content(t) for t in texts], pa.string()), pa.array(free, pa.string())], names=["row_id", "c", "f"])
+
+
 def record_keys(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
     """``(row_id, k, free)``: the ordered key of each row with content and, of records, the order-free one."""
     ship(df.sparkSession)
@@ -140,9 +155,14 @@ def copies(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
     texts = firsts.join(source.withColumnRenamed("row_id", "first_id"), "first_id").select("first_id", "salt", F.col("text").alias("first_text")).dropDuplicates(["first_id", "salt"])
     # A hot record is spread over its salts: each slot meets its own copy of the first row's text.
     checked = scratch.save(members.join(source, "row_id").join(texts, ["first_id", "salt"]).select("row_id", "first_id", "text", "first_text").mapInArrow(_verify, "row_id long, first_id long, ok boolean"))
-    good = checked.where("ok").select("row_id", "first_id")
-    # Rows whose hash met another text's are grouped among themselves by their exact content.
-    spare = checked.where("not ok").select("row_id").distinct().join(source, "row_id").select("row_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "").alias("c"))
+    # A record with a row that is not its first row's copy (colliding hashes, or rows joined through a third
+    # one) is taken apart by exact contents: ordered ones and order-free ones that meet are one record again.
+    mixed = checked.where("not ok").select("first_id").distinct()
+    good = checked.join(mixed, "first_id", "left_anti").select("row_id", "first_id")
+    again = checked.join(mixed, "first_id", "left_semi").select("row_id").distinct().join(source, "row_id")
+    exact = scratch.save(again.mapInArrow(_contents, "row_id long, c string, f string"))
+    meet = components(exact.where("f is not null").select(F.col("c").alias("a"), F.col("f").alias("b")).distinct(), scratch)
+    spare = exact.join(meet.select(F.col("node").alias("c"), "root"), "c", "left").select("row_id", F.coalesce("root", "c").alias("c"))
     low = spare.groupBy("c").agg(F.min("row_id").alias("first_id"))
     alone = keyed.join(members, "row_id", "left_anti").select("row_id", F.col("row_id").alias("first_id"))
     return good.union(spare.join(low, "c").select("row_id", "first_id")).union(alone)
