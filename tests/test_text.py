@@ -79,3 +79,10 @@ def test_keywords_are_whole_words_also_in_accented_text(spark):
 def test_times(spark, raw, seconds):
     got = one(spark, created_micros("x"), raw)
     assert got == (None if seconds is None else seconds * 1_000_000)
+
+
+def test_redaction_knows_all_keys_and_nested_maps(spark):
+    flat = {"Bearer": "a", "openai_api_key": "b", "kind": "c"}
+    assert one(spark, T.redact_keys("x"), flat, "map<string,string>") == {"Bearer": "[REDACTED]", "openai_api_key": "[REDACTED]", "kind": "c"}
+    nested = {"secret": {"v": "a"}, "more": {"Access_Token": "b", "kind": "c"}}
+    assert one(spark, T.redact_keys("x", depth=2), nested, "map<string,map<string,string>>") == {"secret": {"v": "[REDACTED]"}, "more": {"Access_Token": "[REDACTED]", "kind": "c"}}

@@ -155,6 +155,19 @@ def keyword_pattern(words: list[str]) -> str:
     return "(?i)(?<![A-Za-z0-9_])(?:" + "|".join("\\s+".join(w.split()) for w in words) + ")(?![A-Za-z0-9_])"
 
 
-def redact_keys(x: str | Column, keys: list[str], mask: str = "[REDACTED]") -> Column:
-    """A string map with the values of sensitive keys masked, whatever their case."""
-    return F.transform_values(_c(x), lambda k, v: F.when(F.lower(k).isin([s.lower() for s in keys]), F.lit(mask)).otherwise(v))
+SENSITIVE_KEYS = ["apikey", "api_key", "authorization", "bearer", "password", "secret", "token", "access_token", "gemini_api_key", "openai_api_key"]
+
+
+def redact_keys(x: str | Column, keys: list[str] = SENSITIVE_KEYS, mask: str = "[REDACTED]", depth: int = 1) -> Column:
+    """A string map, or one nested ``depth`` maps deep, with the values of sensitive keys masked, whatever their case.
+
+    Below a sensitive outer key every value is masked.
+    """
+    def masked(m: Column, level: int, inside: Column) -> Column:
+        def value(k: Column, v: Column) -> Column:
+            hit = inside | F.lower(k).isin([s.lower() for s in keys])
+            return masked(v, level - 1, hit) if level > 1 else F.when(hit, F.lit(mask)).otherwise(v)
+
+        return F.transform_values(m, value)
+
+    return masked(_c(x), depth, F.lit(False))
