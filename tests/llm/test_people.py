@@ -94,8 +94,31 @@ def test_recovers_truth_better_than_the_vote(spark):
     assert len(rows) == 300 and ours > plain + 0.05
     est = {r.annotator_id: r.reliability for r in fit.annotators.collect()}
     assert est["ann0"] > est["ann2"] > est["ann5"]
-    one = K.agreement_summary(fit.items).first()
+    one = K.agreement_summary(K.item_agreement(spark.createDataFrame([], AGREE), spark.createDataFrame(votes, VOTES))).first()
     assert one.n_items == 300 and 0 < one.pairwise_agreement < 1
+    assert {(r.golden_id, r.n_annotators) for r in rows} == {(i, len(x)) for i, x in by.items()}
+
+
+def test_as_many_annotators_as_items(spark, monkeypatch):
+    """50,000 annotators of three votes each, one of whom votes on every item; blocks and pieces are small."""
+    monkeypatch.setattr(K, "COIN_ROUNDS", 1)
+    monkeypatch.setattr(K, "ROUNDS", 1)
+    ids = spark.range(50_000).selectExpr("id", "explode(sequence(0, 2)) as j")
+    label = f"element_at(array({', '.join(map(repr, K.INTENTS))}), cast(pmod(item, 10) as int) + 1)"
+    many = ids.selectExpr("id * 3 + j as vote_id", "cast(pmod(id * 7 + j * 13, 40000) as long) as item", "concat('a', id) as annotator_id").union(spark.range(40_000).selectExpr("150000 + id", "id", "'hot'"))
+    votes = many.selectExpr("vote_id", "concat('g', item) as golden_id", "annotator_id", f"{label} as vote_label", "timestamp'2020-01-01' as voted_at")
+    fit = K.fit(spark.createDataFrame([], AGREE), votes)
+    assert fit.annotators.count() == 50_001
+    assert fit.annotators.where("annotator_id = 'hot'").first().n_votes == 40_000
+    right = fit.items.selectExpr("cast(substring(golden_id, 2) as long) as item", "label").where(f"label = {label}").count()
+    assert right == fit.items.count() > 30_000
+
+
+def test_an_item_of_more_votes_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(K, "AT_ONCE", 7)
+    votes = [(i, "g", f"a{i}", K.INTENTS[3] if i % 3 else "Battery-Power", datetime.datetime(2020, 1, 1)) for i in range(50)]
+    rows = K.fit(spark.createDataFrame([], AGREE), spark.createDataFrame(votes, VOTES)).items.collect()
+    assert [(r.golden_id, r.label, r.n_annotators, r.agreement) for r in rows] == [("g", "battery_power", 50, 1.0)]
 
 
 def test_empty_tables(spark):

@@ -33,6 +33,8 @@ def test_encoding_edge_cases(spark):
     plain = E.encoder().plain.encode_ordinary
     assert sorted(got) == sorted([(1, []), (2, []), (3, plain(" ")), (4, plain("<|endoftext|>")), (5, plain(long)), (5, plain(long))])
     assert E.encode_corpus(df.limit(0)).count() == 0
+    back = sorted((r.doc_id, r.text) for r in E.decode_corpus(E.encode_corpus(df)).collect())
+    assert back == [(1, ""), (2, ""), (3, " "), (4, "<|endoftext|>"), (5, long), (5, long)]
 
 
 @pytest.mark.parametrize("bound", [leaks.MAX_WINDOWS, 0])

@@ -50,7 +50,7 @@ def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.agreement_summary(_consensus(spark, d).items)
+    return consensus.agreement_summary(consensus.item_agreement(load(spark, d, "golden_agreement"), load(spark, d, "golden_votes")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +88,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(load(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.decode_corpus(p8_ids(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 

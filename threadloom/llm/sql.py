@@ -6,6 +6,7 @@ none; their tests compare with brute force, exact round trips or held-out accura
 
 from __future__ import annotations
 
+from threadloom.llm.consensus import INTENTS
 from threadloom.llm.leaks import WORDS
 from threadloom.llm.spans import LENGTH
 
@@ -27,6 +28,16 @@ _RECORDS = (
     "rec AS (SELECT row_id, min(row_id) OVER (PARTITION BY coalesce(r, k)) AS first_row_id FROM keyed LEFT JOIN root ON n = k)"
 )
 
+_LABEL = "regexp_replace(regexp_replace(lower(trim({c})), '[\\s_\\-./]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_VOTES = (
+    "WITH raw AS (SELECT trim(\"goldenId\") AS item, trim(annotator_a_id) AS ann, " + _LABEL.format(c='"annotatorA"') + " AS label, NULL::TIMESTAMP AS tm, NULL::BIGINT AS id FROM golden_agreement "
+    "UNION ALL SELECT trim(\"goldenId\"), trim(annotator_b_id), " + _LABEL.format(c='"annotatorB"') + ", NULL, NULL FROM golden_agreement "
+    "UNION ALL SELECT trim(golden_id), trim(annotator_id), " + _LABEL.format(c="vote_label") + ", voted_at, vote_id FROM golden_votes), "
+    "vote AS (SELECT item, ann, label FROM raw WHERE item IS NOT NULL AND ann <> '' AND label IN (" + ", ".join(f"'{x}'" for x in INTENTS) + ") "
+    "QUALIFY row_number() OVER (PARTITION BY item, ann ORDER BY tm DESC NULLS LAST, id DESC NULLS LAST, label DESC) = 1), "
+    "per AS (SELECT item, sum(n) AS n, sum(n * (n - 1) / 2) AS agree FROM (SELECT item, label, count(*) AS n FROM vote GROUP BY ALL) GROUP BY item HAVING sum(n) >= 3)"
+)
+
 _WORDS = "regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
 _GRAM = "SELECT {i}, array_to_string(w[j : j + " + str(WORDS - 1) + "], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - " + str(WORDS - 2) + ")) AS j FROM (SELECT {i}, " + _WORDS + " AS w FROM {t}))"
 _LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAM.format(i='doc_id', x='text', t='documents')}) JOIN ({_GRAM.format(i='item_id', x='item_text', t='eval_items')}) USING (g)"
@@ -64,7 +75,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"{_RECORDS} SELECT first_row_id, row_id FROM rec WHERE row_id <> first_row_id",
         "p2_records": f"{_RECORDS} SELECT first_row_id, count(*) AS n_copies FROM rec GROUP BY first_row_id",
+        "p3_agreement": f"{_VOTES} SELECT count(*) AS n_items, round(sum(agree) / sum(n * (n - 1) / 2), 4) AS pairwise_agreement, CAST(count_if(agree = n * (n - 1) / 2) AS BIGINT) AS n_unanimous FROM per",
         "p5_found": _CONVERSATIONS,
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p9_found": _LEAKS,
         "p9_items": f"SELECT item_id, count(*) AS n_docs FROM ({_LEAKS}) GROUP BY item_id",
         "p10_found": f"{_SPANS} SELECT doc_id, start_pos, end_pos FROM span",
