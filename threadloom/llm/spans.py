@@ -9,10 +9,14 @@ is its anchor depends on the window's text alone, so every window that occurs tw
 anchor at the same offset, and nothing is missed although about one suffix in seventy is kept. What
 lies left of an anchor is compared backwards, so a node of depth ``r`` gives the span ``l + r``.
 
-Groups share the prefix of ``SEED`` characters at an anchor. A group of more than ``GROUP`` suffixes is
-split further by prefixes of full ``LENGTH`` characters at each start around its anchors: such a
-subtree's root is itself a deep internal node, so all its suffixes of different texts are shared, and a
-combining aggregate finds that without bringing them together.
+Equal surroundings of an anchor are one leaf, whatever the number of documents that hold them; a combining
+aggregate finds them first, so copies never meet in a task. Groups of leaves share a *prefix*: the ``R``
+characters from the anchor on and the ``L`` before it, ``(0, SEED)`` at first. A group of more than ``GROUP``
+leaves is split by longer prefixes, step by step until it fits: two leaves with ``l`` and ``r`` common
+characters, ``l + r >= LENGTH``, have either ``r >= R'`` or ``l >= LENGTH - R' + 1``, so they meet under
+``(L, R')`` or under ``(LENGTH - R' + 1, R)``. Where ``L + R`` reaches ``LENGTH`` and a group is still too
+large, its root is itself a deep internal node: the group is cut into slots, each of which also gets the
+leaves of the smallest and the largest document. Every group and slot goes through its tree.
 
 Defined results: null texts and texts shorter than the length have no spans; a span repeated inside
 one text only is not shared; equal texts of different ids are shared whole; repeated rows of one id
@@ -29,7 +33,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import arrays as A
-from threadloom.llm.groups import salt
 from threadloom.session import Scratch, ship
 
 U = np.uint64
@@ -37,6 +40,7 @@ LENGTH = 200
 SEED = 64
 GROUP = 2_000
 SEGMENT = 1 << 22
+ROWS = 2_000  # surroundings that leave a task at a time
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -93,9 +97,14 @@ def _contexts(length: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, at in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
-                rows = [(a["seed"], doc, a["pos"], text[max(0, a["pos"] - (length - seed)) : a["pos"]][::-1], text[a["pos"] : a["pos"] + length]) for a in at]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["seed", "doc_id", "pos", "back", "ahead"])
+            for i in range(batch.num_rows):
+                doc, text = batch.column("doc_id")[i].as_py(), batch.column("text")[i].as_py()
+                pos = np.unique(batch.column("at")[i].values.to_numpy(zero_copy_only=False))
+                for k in range(0, len(pos), ROWS):
+                    some = pos[k : k + ROWS]
+                    back = [text[max(0, p - (length - seed)) : p][::-1] for p in some.tolist()]
+                    ahead = [text[p : p + length] for p in some.tolist()]
+                    yield pa.record_batch([pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(back, pa.string()), pa.array(ahead, pa.string())], names=["doc_id", "pos", "back", "ahead"])
 
     return run
 
@@ -130,8 +139,8 @@ def _best_elsewhere(order: list[int], common: list[int], docs: list[int]) -> dic
     return best
 
 
-def tree_spans(docs: list[int], pos: list[int], back: list[str], ahead: list[str], length: int) -> list[tuple[int, int, int]]:
-    """Shared spans ``(doc, start, end)`` from the suffix tree of one group.
+def tree_spans(docs: list[int], back: list[str], ahead: list[str], length: int) -> set[tuple[int, int, int]]:
+    """Shared spans ``(leaf, characters before the anchor, characters from it on)`` from one group's suffix tree.
 
     The tree is held as its sorted suffixes and their common prefixes; an internal node is an interval
     whose smallest common prefix is the node's depth.
@@ -149,57 +158,58 @@ def tree_spans(docs: list[int], pos: list[int], back: list[str], ahead: list[str
         back_common = [_common(back[a], back[b]) for a, b in zip(back_order, back_order[1:])]
         for x, left in _best_elsewhere(back_order, back_common, docs).items():
             if left >= 0 and left + depth >= length:
-                out.add((docs[x], pos[x] - left, pos[x] + depth))
+                out.add((x, left, depth))
         a = i
         for k in range(i, j + 1):
             if k == j or common[k] == depth:
                 if k > a:
                     stack.append((a, k))
                 a = k + 1
-    return list(out)
+    return out
 
 
 def _trees(length: int):
+    """Leaves sorted by group and slot in, ``(leaf, before, after)`` out."""
+    columns = ("g", "slot", "k1", "k2", "lo", "hi", "back", "ahead")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(g: list) -> None:
-            if len(g) > 1:
-                got.extend(tree_spans([x[1] for x in g], [x[2] for x in g], [x[3] for x in g], [x[4] for x in g], length))
+        got: list[tuple] = []
+
+        def close(leaves: list[tuple]) -> None:
+            # A leaf of several documents differs from every other one and is shared by itself.
+            docs = [x[4] if x[4] == x[5] else ("several", n) for n, x in enumerate(leaves)]
+            spans = {(n, len(x[6]), len(x[7])) for n, x in enumerate(leaves) if x[4] != x[5] and len(x[6]) + len(x[7]) >= length}
+            if len(leaves) > 1:
+                spans |= tree_spans(docs, [x[6] for x in leaves], [x[7] for x in leaves], length)
+            got.extend((leaves[n][2], leaves[n][3], before, after) for n, before, after in spans)
+
+        def send() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names=["k1", "k2", "before", "after"])
 
-        got: list[tuple[int, int, int]] = []
-        group: list = []
+        group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc_id", "pos", "back", "ahead"))):
-                if group and group[0][0] != row[0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if group and group[0][:2] != row[:2]:
                     close(group)
                     group = []
                 group.append(row)
             if len(got) > 10_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names=["doc_id", "a", "b"])
-                got = []
-        close(group)
+                yield send()
+                got.clear()
+        if group:
+            close(group)
         if got:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names=["doc_id", "a", "b"])
+            yield send()
 
     return run
 
 
-def _full_prefixes(length: int, seed: int):
-    """Suffixes around the anchors of too large groups, by the hashes of their ``length`` characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            back, ahead = batch.column("back").to_pylist(), batch.column("ahead").to_pylist()
-            text = pa.array([b[::-1] + a for b, a in zip(back, ahead)], pa.large_string())
-            doc, at = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy() - np.array([len(b) for b in back], np.int64)
-            for i, j, part in A.chunks(text):
-                t = A.texts_of(part, lower_sigma=False)
-                n = np.maximum(np.diff(t.start) - length + 1, 0)
-                row = np.repeat(np.arange(len(t)), n)
-                first = t.start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                h1, h2 = (A.spans_hash(t.cps, first, first + length, s) for s in (41, 42))
-                yield pa.record_batch([pa.array(A.signed(h1)), pa.array(A.signed(h2)), pa.array(doc[i:j][row]), pa.array(at[i:j][row] + first - t.start[row])], names=["h1", "h2", "doc_id", "a"])
-
-    return run
+def _longer(leaves: DataFrame, length: int) -> DataFrame:
+    """The leaves of too large groups under the two longer prefixes of each."""
+    half = F.expr(f"(r + {length} - l + 1) div 2").cast("int")
+    both = F.array(F.struct(F.col("l"), half.alias("r")), F.struct((F.lit(length) - half + 1).alias("l"), F.col("r")))
+    out = leaves.select("k1", "k2", "lo", "hi", "back", "ahead", F.explode(both).alias("p"))
+    return out.where("length(back) >= p.l and length(ahead) >= p.r").select("k1", "k2", "lo", "hi", "back", "ahead", "p.l", "p.r")
 
 
 def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
@@ -210,22 +220,41 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     seed = min(seed, length)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") >= length)
     found = scratch.save(docs.mapInArrow(_anchor_rows(length, seed), "seed long, doc_id long, pos long"))
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("seed", "n")
-    shared = scratch.save(shared)
-    # An anchor belongs to one seed; the hot seeds' rows are spread by the join's skew handling.
-    at = found.join(shared, "seed").groupBy("doc_id").agg(F.collect_set(F.struct("seed", "pos")).alias("at"))
-    ctx = scratch.save(docs.join(at, "doc_id").mapInArrow(_contexts(length, seed), "seed long, doc_id long, pos long, back string, ahead string").distinct())
+    shared = found.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
+    # An anchor belongs to one seed; the list of a text's anchors is shorter than the text.
+    at = found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    around = docs.join(at, "doc_id").mapInArrow(_contexts(length, seed), "doc_id long, pos long, back string, ahead string")
+    around = scratch.save(around.select("doc_id", "pos", F.xxhash64(F.lit(1), "back", "ahead").alias("k1"), F.xxhash64(F.lit(2), "ahead", "back").alias("k2"), "back", "ahead"))
     scratch.drop(found)
+    leaves = around.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("back").alias("back"), F.min("ahead").alias("ahead"))
+    leaves = leaves.withColumns({"l": F.lit(0), "r": F.lit(seed)})
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = ctx.join(shared.where(F.col("n") <= group), "seed", "left_semi").repartition(n, "seed").sortWithinPartitions("seed")
-    spans = small.mapInArrow(_trees(length), "doc_id long, a long, b long")
-    # Too large groups: one subtree per full-length prefix, reduced slot by slot.
-    deep = ctx.join(shared.where(F.col("n") > group), "seed", "left_semi").mapInArrow(_full_prefixes(length, seed), "h1 long, h2 long, doc_id long, a long").withColumn("salt", salt("doc_id"))
-    local = deep.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    roots = local.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts")).where("lo < hi")
-    roots = roots.select("h1", "h2", F.explode("salts").alias("salt"))
-    spans = spans.union(deep.join(roots, ["h1", "h2", "salt"]).select("doc_id", "a", (F.col("a") + length).alias("b"))).distinct()
+    trees = lambda x: scratch.save(x.repartition(n, "g", "slot").sortWithinPartitions("g", "slot").mapInArrow(_trees(length), "k1 long, k2 long, before long, after long").distinct())
+    grown = []
+    while leaves is not None:
+        leaves = scratch.save(leaves.withColumn("g", F.xxhash64("l", "r", F.expr("substring(back, 1, l)"), F.expr("substring(ahead, 1, r)"))))
+        size = leaves.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+        large = scratch.save(size.where(F.col("n") > group))
+        fit = leaves.withColumn("slot", F.lit(0))
+        if large.isEmpty():
+            grown.append(trees(fit))
+            break
+        grown.append(trees(fit.join(large, "g", "left_anti")))
+        large = large.where("first < last")  # the others are one document's
+        # Full prefixes: slots of bounded size, each with the first and the last document's leaves.
+        n_slots = F.ceil(F.col("n") / max(group, 1)).cast("int")
+        full = leaves.where(F.col("l") + F.col("r") >= length).join(large, "g")
+        own = full.withColumn("slot", F.pmod(F.xxhash64("k2"), n_slots).cast("int")).select(*fit.columns)
+        row = F.struct(*leaves.columns)
+        ends = full.groupBy("g").agg(F.min_by(row, "lo").alias("a"), F.max_by(row, "hi").alias("z"), F.first("n").alias("n"))
+        ends = ends.select(F.explode(F.array("a", "z")).alias("x"), n_slots.alias("m")).select("x.*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("slot"))
+        grown.append(trees(own.unionByName(ends).distinct()))
+        leaves = _longer(leaves.where(F.col("l") + F.col("r") < length).join(large, "g", "left_semi"), length)
+    spans = grown[0]
+    for more in grown[1:]:
+        spans = spans.union(more)
     # Overlapping and touching spans of a text become one.
+    spans = around.select("doc_id", "pos", "k1", "k2").join(spans.distinct(), ["k1", "k2"]).select("doc_id", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")).distinct()
     w = Window.partitionBy("doc_id").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
