@@ -103,7 +103,7 @@ def noisy(rng, vocab, base):
     return w
 
 
-@pytest.mark.parametrize(("single", "hot"), [(1000, 50_000), (2, 50_000), (5, 8)])
+@pytest.mark.parametrize(("single", "hot"), [(1000, 200_000), (2, 200_000), (5, 8), (2, 16)])
 def test_near_groups_against_brute_force(spark, monkeypatch, single, hot):
     monkeypatch.setattr(N, "SINGLE", single)
     rng = random.Random(single)
@@ -117,6 +117,79 @@ def test_near_groups_against_brute_force(spark, monkeypatch, single, hot):
     assert got == want and len(want) > 20
 
 
+def test_large_and_small_sets_against_brute_force(spark, monkeypatch):
+    """Sets around the sizes at which the number of blocks changes, all of frequent words."""
+    monkeypatch.setattr(N, "SINGLE", 1)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in (6, 7, 8, 9, 10, 11, 12, 63, 64, 65, 90, 91, 128, 180, 256):
+        base = rng.sample(vocab, n)
+        for cut in (0, 1, 2, n // 8, n // 5, n // 4, n // 3):
+            texts += [" ".join(base[cut:]), " ".join(base + rng.sample(vocab, cut))]
+    sets = [words(t) for t in texts]
+    near = [(i + 1, j + 1) for i, j in itertools.combinations(range(len(sets)), 2) if min(len(sets[i]), len(sets[j])) >= 6 and 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j])]
+    # Every near pair shares a signature of which the smaller set's is an index one.
+    t = A.texts_of(pa.array(texts))
+    row, tok = A.word_sets(t)
+    counts = __import__("numpy").full(1 << N.BUCKETS, 5)
+    for n_sets in (1, 100):
+        r, sig, index = N.signatures(row, tok, len(texts), counts, n_sets, 0.7)
+        of = {}
+        for x, s, i in zip(r.tolist(), sig.tolist(), index.tolist()):
+            of.setdefault(x, {})[s] = of.get(x, {}).get(s, False) or i
+        for a, b in near:
+            a, b = sorted((a - 1, b - 1), key=lambda k: len(sets[k]))
+            met = [s for s, i in of[a].items() if s in of[b] and (i or (len(sets[a]) == len(sets[b]) and of[b][s]))]
+            assert met, (len(sets[a]), len(sets[b]), n_sets)
+    want = {("t", a, b) for a, b in groups_of(near, len(texts))}
+    assert {tuple(r) for r in N.near_groups(frame(spark, texts), ["t"]).collect()} == want
+
+
+def test_combinations_of_many_common_words_stay_few():
+    import numpy as np
+
+    for n in (100, 200, 400, 2000):
+        row, tok = np.zeros(n, np.int64), A.mix(np.arange(n))
+        _, sig, _ = N.signatures(row, tok, 1, np.full(1 << N.BUCKETS, 2**31 - 1), 10**6, 0.7)
+        assert len(sig) < 40 * n, (n, len(sig))
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 1_000])
+def test_a_template_with_one_word_changed(spark, hot):
+    """All rows are near all others: links stay fewer than rows, whole or in blocks."""
+    n = 6_000
+    df = spark.range(1, n + 1).selectExpr("id as row_id", "concat('your order number ', id, ' has been sent to the shop on the main road today and will arrive soon') as t")
+    links = {}
+    real = N.components
+
+    def counted(edges, scratch, *a):
+        links[len(links)] = edges.count()
+        return real(edges, scratch, *a)
+
+    N.components = counted
+    try:
+        got = N.near_groups(df, ["t"], hot=hot)
+        assert got.count() == n - 1 and got.select("first_row_id").distinct().count() == 1
+    finally:
+        N.components = real
+    assert max(links.values()) < 3 * n
+
+
+def test_a_forest_of_a_million_rows_of_one_group():
+    import numpy as np
+
+    n = 1_000_000
+    tested = []
+
+    def near(a, b):
+        tested.append(len(a))
+        return np.ones(len(a), bool)
+
+    lab, links = N.forest(np.zeros(n, np.int64), np.zeros(1, np.int64), near, np.full(n, 20), 0.7)
+    assert (lab == 0).all() and sum(len(a) for a, _ in links) == n - 1 and sum(tested) < 2 * n
+
+
 def test_near_groups_keep_fields_apart(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "x"), (2, "x", "a b c d e f g"), (3, "a b c d e f h", None)], "row_id long, p string, q string")
     assert [tuple(r) for r in N.near_groups(df, ["p", "q"]).collect()] == [("p", 1, 3)]

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from threadloom.session import Scratch
 
-SALTS = 32
+SALTS = 32  # slots of a key at least
+SLOT = 1_000_000  # rows of a slot, were one key to hold the whole table
 
 
 def salt(id_col: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
 
 
+def salts_for(rows: DataFrame) -> int:
+    """The number of slots for a written table: its counted rows decide how many tasks a hot key may need."""
+    return max(SALTS, -(-rows.count() // SLOT))
+
+
 def slots(keyed: DataFrame, keys: list[str], id_col: str = "row_id") -> DataFrame:
     """``(keys, salt) -> first_id, copies`` for a frame with ``keys``, ``salt`` and ``id_col``.
 

@@ -9,12 +9,23 @@ words by combinations of ``k`` of them, within hash blocks of the class. The pre
 
 so by the pigeonhole principle two similar sets share at least one signature. The smaller set of a
 pair needs the shorter *index* prefix (misses allowed against a set at least as large), the larger one
-the *probe* prefix. Pairs that share a signature are pruned by size and by a parity bitmap, an upper
-bound of the overlap, and then verified on their whole texts. Nothing is sampled or capped.
+the *probe* prefix. The number of blocks grows with the set (``_level``), so combinations stay few; a set
+also probes on the level below if a similar smaller set may lie there. Nothing is sampled or capped.
+
+Groups (problem 6) never list all pairs of a cluster. Rows that meet at a signature are parted into
+components of the pairs that size and a parity bitmap (an upper bound of the overlap) leave possible; equal
+components of other signatures are dropped; each then meets its texts once, and pairs are verified until
+its rows are connected, which yields a spanning forest of verified links. A signature of more than ``HOT``
+rows is cut into blocks that share ``WITNESSES`` rows; pairs of blocks are compared only if the verified
+links of the blocks have left the signature's rows in several groups. Pairs (problem 7) are the result
+itself, so they are listed, in pieces of bounded size.
 
 Word frequencies come from a table of ``2**BUCKETS`` hashed counters: any global order is exact, so
 hash collisions cost time only, and what is broadcast has a fixed size (4 MB).
 
+Words are compared by 64-bit hashes: two texts of 20 words each have a false common word with a chance of
+about 400 / 2**64, or one in 4 * 10**16.
+
 Defined results: null texts and texts with fewer than ``MIN_WORDS`` different words belong to no
 group; equal word sets are copies whatever their order; empty tables give empty results; further
 columns of the input are ignored.
@@ -31,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import arrays as A
-from threadloom.llm.groups import components, salt, slots
+from threadloom.llm.groups import components, salt, salts_for, slots
 from threadloom.session import Scratch, ship
 
 U = np.uint64
@@ -39,9 +50,11 @@ MIN_WORDS = 6
 THRESHOLD = 0.7
 BUCKETS = 20
 SINGLE = 1000  # a word in at most so many sets is indexed singly; of rarer expectation for combinations
-BLOCKS = {2: 4, 3: 1}
-SMALL = 8  # smaller sets of up to so many words also use plain single-word prefixes
-HOT = 50_000  # rows of one signature that are joined in one piece; more are joined in blocks
+SMALL, LARGE = 8, 64  # up to so many words: one block a class; from so many: blocks grow with the set
+HOT = 200_000  # rows of one signature that are joined in one piece; more are joined in blocks
+WITNESSES = 16
+ROWS = 300_000  # signature rows handled at a time
+PAIRS = 1_000_000  # pairs tested or listed at a time
 EPS = 1e-9
 
 
@@ -120,47 +133,57 @@ def _rank_in_group(group: np.ndarray) -> np.ndarray:
     return out
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.where(n <= SMALL, 0, np.where(n < LARGE, 1, 2 + np.log2(np.maximum(n // LARGE, 1)).astype(np.int64)))
+
+
+def _blocks(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of classes 2 and 3: so few that a prefix always fits, and more for larger sets."""
+    return np.where(level == 0, 1, 2 << np.maximum(level, 1)), np.where(level < 2, 1, 1 << np.maximum(level, 0))
+
+
 def signatures(row: np.ndarray, tok: np.ndarray, n_rows: int, counts: np.ndarray, n_sets: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, is-index) of word sets given as (row, token) pairs ordered by row."""
+    if t < THRESHOLD:
+        raise ValueError(f"prefixes are long enough for similarities of {THRESHOLD} or more")
     df = counts[_bucket(tok)]
     order = np.lexsort((tok, df, row))
     row, tok, df = row[order], tok[order], df[order]
     n = np.bincount(row, minlength=n_rows)
+    own, below = _level(n), _level(np.ceil(n * t - EPS).astype(np.int64))
+    out = _signatures(row, tok, df, n, own, n_sets, t, True)
+    down = (below < own)[row]
+    more = _signatures(row[down], tok[down], df[down], np.bincount(row[down], minlength=n_rows), below, n_sets, t, False)
+    return tuple(np.concatenate(x) for x in zip(out, more))  # type: ignore[return-value]
+
+
+def _signatures(row: np.ndarray, tok: np.ndarray, df: np.ndarray, n: np.ndarray, level: np.ndarray, n_sets: int, t: float, indexed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     probe, index = _misses(n, t)[row], _misses(n, 2 * t / (1 + t))[row]
     kind = np.where(df <= SINGLE, 1, np.where(df <= math.sqrt(SINGLE * max(n_sets, 1)), 2, 3))
     start = np.cumsum(n) - n
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    # Plain prefixes among small sets, whose few words leave no room for combinations.
-    small = (n[row] <= int(SMALL / t) + 1) & (n[row] >= MIN_WORDS)
-    place = np.arange(len(row)) - start[row]
-    on = small & (place <= probe)
-    out.append((row[on], A.mix(tok[on], 21), (place <= index)[on] & (n[row[on]] <= SMALL)))
-
-    block = np.where(kind == 1, 0, np.where(kind == 2, 1 + (tok % U(BLOCKS[2])).astype(np.int64), 1 + BLOCKS[2] + (tok % U(BLOCKS[3])).astype(np.int64)))
-    width = 2 + BLOCKS[2] + BLOCKS[3]
+    b2, b3 = (b[row] for b in _blocks(level))
+    block = np.where(kind == 1, 0, np.where(kind == 2, 1 + (tok % b2.astype(U)).astype(np.int64), 1 + b2 + (tok % b3.astype(U)).astype(np.int64)))
+    width = int((1 + b2 + b3).max()) if len(row) else 1
     group = row * width + block
     gives = _rank_in_group(group) >= kind - 1
     total = np.cumsum(gives)
     before = total - gives
     before = before - np.concatenate([[0], total])[start[row]]
-    in_probe, in_index = before <= probe, before <= index
-    use = in_probe & (n[row] >= MIN_WORDS)
-    row, tok, kind, group, in_index = row[use], tok[use], kind[use], group[use], in_index[use]
+    use = (before <= probe) & (n[row] >= MIN_WORDS)
+    in_index = (before <= index)[use] & indexed
+    row, tok, kind, group = row[use], A.mix(tok[use] ^ A.mix(level[row[use]], 20), 23), kind[use], group[use]
     one = kind == 1
-    out.append((row[one], A.mix(tok[one], 22), in_index[one]))
+    out = [(row[one], A.mix(tok[one], 22), in_index[one])]
     for k in (2, 3):
         sel = np.flatnonzero(kind == k)
         sel = sel[np.argsort(group[sel], kind="stable")]
         r, w, g, x = row[sel], tok[sel], group[sel], in_index[sel]
         lag = 1
-        while True:
-            if lag >= len(g):
-                break
+        while lag < len(g):
             hit = np.flatnonzero(g[lag:] == g[:-lag])
             if not len(hit):
                 break
-            pair = A.mix(w[hit], 23) + A.mix(w[hit + lag], 23)
+            pair = w[hit] + w[hit + lag]
             if k == 2:
                 out.append((r[hit], A.mix(pair, 24), x[hit + lag]))
             else:
@@ -171,7 +194,7 @@ def signatures(row: np.ndarray, tok: np.ndarray, n_rows: int, counts: np.ndarray
                     ok[ok] = g[third[ok]] == g[hit[ok]]
                     if not ok.any():
                         break
-                    out.append((r[hit[ok]], A.mix(pair[ok] + A.mix(w[third[ok]], 23), 25), x[third[ok]]))
+                    out.append((r[hit[ok]], A.mix(pair[ok] + w[third[ok]], 25), x[third[ok]]))
                     more += 1
             lag += 1
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
@@ -230,70 +253,185 @@ def bitmap_of(spark, values: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _pairs_in(sig, node, meta, bits, t: float, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of rows ordered by (sig, size, node): the earlier one must be in its index prefix."""
-    n, index, side = meta >> 2, (meta >> 1) & 1, meta & 1
-    bits = bits.view(U)
-    share = t / (1 + t)
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    gid = np.cumsum(new) - 1
-    ends = np.append(np.flatnonzero(new)[1:], len(sig))[gid]
-    act = np.flatnonzero((index == 1) & (ends - np.arange(len(sig)) > 1))
-    if cross:
-        has = np.bincount(gid[side == 1], minlength=gid[-1] + 1 if len(gid) else 0) > 0
-        act = act[has[gid[act]]]
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group number of each row, starts of the groups) of sorted keys."""
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+class Rows:
+    """Signature rows ordered by (signature, size, node), and the test that leaves a pair possible."""
+
+    def __init__(self, part: pa.Table, t: float):
+        c = {k: part.column(k).to_numpy() for k in part.column_names}
+        order = np.lexsort((c["node"], c["meta"] >> 2, c["sig"]))
+        self.c = c = {k: v[order] for k, v in c.items()}
+        self.n, self.index, self.side, self.bits = c["meta"] >> 2, (c["meta"] >> 1) & 1, c["meta"] & 1, c["bits"].view(U)
+        self.group, self.starts = _runs(c["sig"])
+        self.ends = np.append(self.starts[1:], len(order))[self.group]
+        self.half, self.t = c.get("half"), t
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``a`` comes before ``b``, so it must be in its index prefix."""
+        both = self.n[a] + self.n[b]
+        slack = both - 2 * np.ceil(self.t / (1 + self.t) * both - EPS).astype(np.int64)
+        ok = (self.index[a] == 1) & (self.n[a] >= self.n[b] * self.t - EPS) & (np.bitwise_count(self.bits[a] ^ self.bits[b]) <= slack)
+        return ok if self.half is None else ok & ((self.half[a] != self.half[b]) | (self.half[a] < 0))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The possible pairs of rows of different sides."""
+        act = np.flatnonzero((self.index == 1) & (self.ends - np.arange(len(self.n)) > 1))
+        if len(act):
+            has = np.minimum.reduceat(self.side, self.starts) != np.maximum.reduceat(self.side, self.starts)
+            act = act[has[self.group[act]]]
+        lag = 1
+        while len(act):
+            act = act[act + lag < self.ends[act]]
+            act = act[self.n[act] >= self.n[act + lag] * self.t - EPS]  # larger rows follow
+            a = act[self.side[act] != self.side[act + lag]]
+            a = a[self.possible(a, a + lag)]
+            if len(a):
+                yield self.c["node"][a], self.c["node"][a + lag]
+            lag += 1
+
+
+def forest(group: np.ndarray, starts: np.ndarray, test: Callable, size: np.ndarray, t: float, label: np.ndarray | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(label of each row, links): the components of the pairs that pass a test within groups of rows.
+
+    Pairs are tested by distance, and only while their rows are apart; rows of one ``label`` are together
+    from the start. A row leaves when the next ones are too large for it (rows are ordered by size), a
+    group as soon as its rows are one component. The links are a forest.
+    """
+    n = len(group)
+    lab, links = np.arange(n), []
+    if label is not None and n:
+        order = np.lexsort((label, group))
+        new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])])
+        lab[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    ends = np.append(starts[1:], n)[group] if n else starts
+    act = np.flatnonzero((ends - np.arange(n) > 1) & (True if first is None else first))
     lag = 1
     while len(act):
         act = act[act + lag < ends[act]]
-        other = act + lag
-        near = n[act] >= n[other] * t - EPS
-        act, other = act[near], other[near]
-        if cross:
-            ok = side[act] != side[other]
-            a, b = act[ok], other[ok]
-        else:
-            a, b = act, other
-        both = n[a] + n[b]
-        slack = both - 2 * np.ceil(share * both - EPS).astype(np.int64)
-        hit = np.bitwise_count(bits[a] ^ bits[b]) <= slack
-        if hit.any():
-            yield node[a[hit]], node[b[hit]]
+        act = act[size[act] >= size[act + lag] * t - EPS]
+        if lag & (lag - 1) == 0 and len(act):
+            single = np.minimum.reduceat(lab, starts) == np.maximum.reduceat(lab, starts)
+            act = act[~single[group[act]]]
+        for i in range(0, len(act), PAIRS):
+            a = act[i : i + PAIRS]
+            a = a[lab[a] != lab[a + lag]]
+            a = a[test(a, a + lag)] if len(a) else a
+            b = a + lag
+            while len(a):
+                x, y = lab[a], lab[b]
+                apart = x != y
+                a, b, lo, hi = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+                if not len(a):
+                    break
+                top, at = np.unique(hi, return_index=True)
+                links.append((a[at], b[at]))
+                lab[top] = lo[at]
+                while True:
+                    up = lab[lab]
+                    if (up == lab).all():
+                        break
+                    lab = up
         lag += 1
+    return lab, links
+
+
+def _clusters(t: float) -> Callable:
+    """Rows of whole signatures in, ``(gid, node, root, half)`` of the components of possible pairs out."""
+    seen: set[int] = set()
+
+    def handle(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        r = Rows(part, t)
+        root = r.c.get("root")
+        lab, _ = forest(r.group, r.starts, r.possible, r.n, t, root, r.index == 1)
+        order = np.argsort(lab, kind="stable")
+        node = r.c["node"][order]
+        g, starts = _runs(lab[order])
+        if root is None:
+            several = np.bincount(g) > 1
+        else:
+            several = np.minimum.reduceat(root[order], starts) != np.maximum.reduceat(root[order], starts)
+        h = np.add.reduceat(A.mix(node, 71), starts) if len(starts) else np.zeros(0, U)
+        gid = A.signed(A.mix(h))
+        if root is None:  # most signatures of a cluster bring the same rows together
+            fresh = np.fromiter((several[i] and x not in seen for i, x in enumerate(gid.tolist())), bool, len(gid))
+            seen.update(gid[fresh].tolist())
+            if len(seen) > 1_000_000:
+                seen.clear()
+        else:
+            fresh = several
+        keep = fresh[g]
+        extra = {} if root is None else {"root": root[order][keep], "half": r.half[order][keep]}
+        for i in range(0, int(keep.sum()), PAIRS):
+            cut = slice(i, i + PAIRS)
+            yield _met(gid[g[keep]][cut], node[keep][cut], **{k: v[cut] for k, v in extra.items()})
 
+    return handle
 
-def _meet(t: float, cross: bool, hot: int, blocked: bool = False) -> Callable:
-    """Rows sorted by signature in, candidate pairs out; rows of hot signatures come out as they are."""
+
+MEET_DDL = "gid long, node long, sig long, meta int, bits long, root long, half int"
+
+
+def _met(gid, node, sig=None, meta=None, bits=None, root=None, half=None) -> pa.RecordBatch:
+    kinds = {"gid": pa.int64(), "node": pa.int64(), "sig": pa.int64(), "meta": pa.int32(), "bits": pa.int64(), "root": pa.int64(), "half": pa.int32()}
+    values = {"gid": gid, "node": node, "sig": sig, "meta": meta, "bits": bits, "root": root, "half": half}
+    return pa.record_batch([pa.nulls(len(node), k) if values[c] is None else pa.array(values[c], k) for c, k in kinds.items()], names=list(kinds))
+
+
+def _listed(t: float) -> Callable:
+    """Rows of whole signatures in, possible pairs of different sides out (``gid`` and ``node``), in bounded pieces."""
 
     def handle(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig, node, meta, bits = (part.column(c).to_numpy() for c in ("sig", "node", "meta", "bits"))
-        order = np.lexsort((node, meta >> 2, sig))
-        sig, node, meta, bits = sig[order], node[order], meta[order], bits[order]
-        got = list(_pairs_in(sig, node, meta, bits, t, cross))
-        if got:
-            a, b = (np.concatenate(x) for x in zip(*got))
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((hi, lo))
-            lo, hi = lo[order], hi[order]
-            keep = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            yield out(lo[keep], hi[keep])
-
-    def out(a, b, sig=None, meta=None, bits=None) -> pa.RecordBatch:
-        empty = lambda x, kind: pa.nulls(len(a), kind) if x is None else pa.array(x, kind)
-        return pa.record_batch([pa.array(a), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64()), empty(sig, pa.int64()), empty(meta, pa.int32()), empty(bits, pa.int64())], names=["a", "b", "sig", "meta", "bits"])
+        held: list[np.ndarray] = []
+
+        def send() -> pa.RecordBatch:
+            pair = np.unique(np.concatenate(held), axis=0)
+            return _met(pair[:, 0], pair[:, 1])
+
+        for a, b in Rows(part, t).pairs():
+            held.append(np.sort(np.stack([a, b], 1), axis=1))
+            if sum(map(len, held)) > PAIRS:
+                yield send()
+                held.clear()
+        if held:
+            yield send()
+
+    return handle
+
+
+def _meet(make: Callable, t: float, hot: int | None) -> Callable:
+    """Rows sorted by signature in; whole signatures go to a handler, rows of hot ones come out as they are."""
 
     def spill(part: pa.Table) -> pa.RecordBatch:
         c = {k: part.column(k).to_numpy() for k in ("sig", "node", "meta", "bits")}
-        return out(c["node"], None, c["sig"], c["meta"], c["bits"])
+        return _met(None, c["node"], c["sig"], c["meta"], c["bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        handle = make(t)
         held: list[pa.RecordBatch] = []
         rows, hot_sig = 0, None
+
+        def split(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            if hot is not None:
+                _, starts = _runs(part.column("sig").to_numpy())
+                size = np.diff(np.append(starts, part.num_rows))
+                for k in np.flatnonzero(size > hot):
+                    yield spill(part.slice(starts[k], size[k]))
+                if (size > hot).any():
+                    part = part.filter(pa.array(np.repeat(size <= hot, size)))
+            if part.num_rows:
+                yield from handle(part)
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < 300_000 and hot_sig is None:
+            if rows < ROWS and hot_sig is None:
                 continue
             part = pa.Table.from_batches(held)
             sig = part.column("sig").to_numpy()
@@ -308,7 +446,7 @@ def _meet(t: float, cross: bool, hot: int, blocked: bool = False) -> Callable:
                 if cut:
                     yield from split(part.slice(0, cut))
                     part = part.slice(cut)
-                if part.num_rows > hot:  # the group goes on and is already too large for one piece
+                if hot is not None and part.num_rows > hot:  # the group goes on and is already too large for one piece
                     hot_sig = last
                     yield spill(part)
                     part = part.slice(part.num_rows)
@@ -316,63 +454,152 @@ def _meet(t: float, cross: bool, hot: int, blocked: bool = False) -> Callable:
         if rows:
             part = pa.Table.from_batches(held)
             if hot_sig is not None:
-                sig = part.column("sig").to_numpy()
-                stop = int((sig == hot_sig).sum())
+                stop = int((part.column("sig").to_numpy() == hot_sig).sum())
                 if stop:
                     yield spill(part.slice(0, stop))
                 part = part.slice(stop)
             if part.num_rows:
                 yield from split(part)
 
-    def split(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig = part.column("sig").to_numpy()
-        edge = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
-        for k in np.flatnonzero(np.diff(edge) > hot):
-            yield spill(part.slice(edge[k], edge[k + 1] - edge[k]))
-        if (np.diff(edge) > hot).any():
-            part = part.filter(pa.array(np.repeat(np.diff(edge) <= hot, np.diff(edge))))
-        if part.num_rows:
-            yield from handle(part)
-
     return run
 
 
-MEET_DDL = "a long, b long, sig long, meta int, bits long"
+def _met_at(rows: DataFrame, make: Callable, t: float, hot: int | None = None) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet(make, t, hot), MEET_DDL)
+
 
+def _in_blocks(hot_rows: DataFrame, hot: int, cross: bool) -> DataFrame:
+    """Rows of hot signatures under each pair of blocks they belong to; ``half`` tells the blocks apart.
 
-def _meet_block(t: float, cross: bool) -> Callable:
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        x, y = int(key[1].as_py()), int(key[2].as_py())
-        c = {k: part.column(k).to_numpy() for k in ("node", "meta", "bits", "blk")}
-        order = np.lexsort((c["node"], c["meta"] >> 2))
-        node, meta, bits, blk = (c[k][order] for k in ("node", "meta", "bits", "blk"))
-        got = list(_pairs_in(np.zeros(len(node), np.int64), node, meta, bits, t, cross))
-        a, b = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
-        if x != y and len(a):
-            of = dict(zip(node.tolist(), blk.tolist()))
-            keep = np.array([of[p] != of[q] for p, q in zip(a.tolist(), b.tolist())], bool)
-            a, b = a[keep], b[keep]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    With ``cross`` only pairs of different blocks, else also each block with itself.
+    """
+    sizes = hot_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / max(hot // 2, 1)).cast("int").alias("nb"))
+    cut = hot_rows.join(sizes, "sig").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cut = cut.where("blk <> other") if cross else cut
+    half = F.when(F.col("blk") == F.col("other"), -1).otherwise((F.col("blk") > F.col("other")).cast("int"))
+    return cut.withColumn("half", half).withColumn("sig", F.xxhash64("sig", F.least("blk", "other"), F.greatest("blk", "other")))
+
+
+def candidates(signed: DataFrame, t: float, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """Different candidate pairs ``(a, b)`` of signature rows of two sides."""
+    met = scratch.save(_met_at(signed, _listed, t, hot))
+    pairs = met.where("sig is null")
+    blocks = _in_blocks(met.where("sig is not null").select("sig", "node", "meta", "bits"), hot, False).select("sig", "node", "meta", "bits", "half")
+    return pairs.union(_met_at(blocks, _listed, t)).select(F.col("gid").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of each entry, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Sets:
+    """The word sets of texts, by their sorted hashes, and whether two are similar."""
+
+    def __init__(self, text: pa.Array, t: float):
+        rows, hashes, bits = [], [], []
+        for i, _, part in A.chunks(text):
+            x = A.texts_of(part)
+            r, h = A.word_sets(x)
+            rows.append(r + i)
+            hashes.append(h)
+            bits.append(_parity(r, h, len(x)))
+        self.h = np.concatenate(hashes) if hashes else np.zeros(0, U)
+        self.n = np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=len(text))
+        self.start, self.bits, self.t = np.cumsum(self.n) - self.n, np.concatenate(bits) if bits else np.zeros(0, U), t
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        na, nb = self.n[a], self.n[b]
+        both = na + nb
+        slack = both - 2 * np.ceil(self.t / (1 + self.t) * both - EPS).astype(np.int64)
+        ok = (np.bitwise_count(self.bits[a] ^ self.bits[b]) <= slack) & (np.minimum(na, nb) >= MIN_WORDS)
+        left = np.flatnonzero(ok)
+        size = np.cumsum(both[left])
+        at = 0
+        while at < len(left):  # some million words at a time
+            stop = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + 4 * PAIRS)), at + 1)
+            p = left[at:stop]
+            h = np.concatenate([self.h[_ranges(self.start[a[p]], na[p])], self.h[_ranges(self.start[b[p]], nb[p])]])
+            r = np.concatenate([np.repeat(np.arange(len(p)), na[p]), np.repeat(np.arange(len(p)), nb[p])])
+            order = np.lexsort((h, r))
+            r, h = r[order], h[order]
+            shared = np.bincount(r[1:][(r[1:] == r[:-1]) & (h[1:] == h[:-1])], minlength=len(p))
+            ok[p] = shared >= self.t * (both[p] - shared) - EPS
+            at = stop
+        return ok
+
+
+def _links(t: float) -> Callable:
+    """Components of possible pairs with their texts in, a forest of verified links out."""
+
+    def handle(part: pa.Table) -> pa.RecordBatch:
+        sets = Sets(part.column("text").combine_chunks(), t)
+        gid, node = part.column("sig").to_numpy(), part.column("node").to_numpy()
+        order = np.lexsort((node, sets.n, gid))
+        group, starts = _runs(gid[order])
+        root = part.column("root")
+        labels = None if root.null_count else root.to_numpy()[order]
+        half = None if root.null_count else part.column("half").to_numpy()[order]
+
+        def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(a), bool) if half is None else half[a] != half[b]
+            ok[ok] = sets.similar(order[a[ok]], order[b[ok]])
+            return ok
+
+        _, links = forest(group, starts, test, sets.n[order], t, labels)
+        a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+        return pa.record_batch([pa.array(node[order[a]]), pa.array(node[order[b]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < 8_000_000:
+                continue
+            part = pa.Table.from_batches(held)
+            sig = part.column("sig").to_numpy()
+            cut = int(np.searchsorted(sig == sig[-1], True)) if len(sig) and sig[0] != sig[-1] else 0
+            if cut:
+                yield handle(part.slice(0, cut))
+                part = pa.Table.from_batches(part.slice(cut).to_batches(), part.schema)
+            held, size = part.to_batches(), part.nbytes if cut else 0  # a long group waits for as much again
+        part = pa.Table.from_batches(held) if held else None
+        if part is not None and part.num_rows:
+            yield handle(part)
 
     return run
 
 
-def candidates(signed: DataFrame, t: float, scratch: Scratch, cross: bool = False, hot: int = HOT) -> DataFrame:
-    """Different candidate pairs ``(a, b)`` of signature rows."""
-    spark = signed.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = scratch.save(signed.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_meet(t, cross, hot), MEET_DDL))
-    pairs = met.where("sig is null").select("a", "b")
-    # A hot signature's rows are cut into blocks; each pair of blocks is a task of bounded size.
-    hot_rows = met.where("sig is not null").select("sig", F.col("a").alias("node"), "meta", "bits")
-    sizes = hot_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(hot // 4, 1))).cast("int").alias("nb"))
-    blocks = (
-        hot_rows.join(sizes, "sig")
-        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("sig", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "node", "meta", "bits", "blk")
-    )
-    return pairs.union(blocks.groupBy("sig", "x", "y").applyInArrow(_meet_block(t, cross), "a long, b long")).distinct()
+def near_links(signed: DataFrame, texts: DataFrame, t: float, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """``(a, b)``: verified links whose components are those of all near pairs."""
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def verified(met: DataFrame) -> DataFrame:
+        some = texts_near_nodes(texts, met.select("node"))
+        rows = met.join(some, "node").select(F.col("gid").alias("sig"), "node", "root", "half", "text")
+        return scratch.save(rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_links(t), "a long, b long").distinct())
+
+    met = scratch.save(_met_at(signed, _clusters, t, hot))
+    links = verified(scratch.save(met.where("sig is null").select("gid", "node", "root", "half").distinct()))
+    hot_rows = met.where("sig is not null").select("sig", "node", "meta", "bits")
+    if hot_rows.isEmpty():
+        return links
+    # Blocks of a hot signature share some rows, picked by hash, which tie its similar rows together.
+    sizes = hot_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / max(hot // 2, 1)).cast("int").alias("nb"), F.array(*[F.min_by(F.struct("node", "meta", "bits"), F.xxhash64("node", F.lit(i))) for i in range(WITNESSES)]).alias("w"))
+    blocks = hot_rows.join(sizes.select("sig", "nb"), "sig").select(F.xxhash64("sig", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).alias("sig"), "node", "meta", "bits")
+    ties = sizes.select("sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), "w").select(F.xxhash64("sig", "blk").alias("sig"), F.explode("w").alias("w")).select("sig", "w.*")
+    met = scratch.save(_met_at(blocks.union(ties).distinct(), _clusters, t).select("gid", "node", "root", "half").distinct())
+    links = scratch.save(links.union(verified(met)).distinct())
+    roots = components(links, scratch)
+    placed = hot_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    rest = scratch.save(placed.join(apart, "sig", "left_semi").select("sig", "node", "meta", "bits", "root"))
+    cross = _in_blocks(rest, hot, True).select("sig", "node", "meta", "bits", "root", "half")
+    met = scratch.save(_met_at(cross, _clusters, t).select("gid", "node", "root", "half"))
+    return links.union(verified(met)).distinct()
 
 
 def _pick(wanted, inside: bool) -> Callable:
@@ -463,12 +690,13 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, t: float) -> Da
 
 
 def collapse(texts: DataFrame, n_fields: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Copies by word set: ``(node, first_id)`` of all rows of sets with copies, and the texts but for
+    """Copies by word set: ``(node, first_id, salt)`` of all rows of sets with copies, and the texts but for
     each set's later copies."""
-    keyed = scratch.save(texts.mapInArrow(_set_keys(n_fields), "node long, k1 long, k2 long").withColumn("salt", salt("node")))
+    keyed = scratch.save(texts.mapInArrow(_set_keys(n_fields), "node long, k1 long, k2 long"))
+    keyed = keyed.withColumn("salt", salt("node", salts_for(keyed)))
     found = scratch.save(slots(keyed, ["k1", "k2"], "node").where("copies > 1"))
-    copies = scratch.save(keyed.join(found, ["k1", "k2", "salt"]).select("node", "first_id"))
-    return copies, texts_without_nodes(texts, copies.where("node <> first_id").select("node").distinct())
+    copies = scratch.save(keyed.join(found, ["k1", "k2", "salt"]).select("node", "first_id", "salt"))
+    return copies, scratch.save(texts_without_nodes(texts, copies.where("node <> first_id").select("node").distinct()))
 
 
 def near_groups(df: DataFrame, fields: list[str], row_id: str = "row_id", t: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -477,14 +705,12 @@ def near_groups(df: DataFrame, fields: list[str], row_id: str = "row_id", t: flo
     ship(spark)
     scratch = Scratch(spark, "near")
     n_fields = len(fields)
-    texts = texts_by_node(df, fields, row_id)
-    copies, reps = collapse(texts, n_fields, scratch)
+    copies, reps = collapse(texts_by_node(df, fields, row_id), n_fields, scratch)
     counts = spark.sparkContext.broadcast(word_counts(reps, n_fields))
-    signed = reps.mapInArrow(_sign(counts, texts.count(), n_fields, t, 0), SIGN_DDL)
-    links = verify(candidates(signed, t, scratch, hot=hot), texts, scratch, t)
-    roots = components(links, scratch)
+    signed = reps.mapInArrow(_sign(counts, reps.count(), n_fields, t, 0), SIGN_DDL)
+    roots = components(near_links(signed, reps, t, scratch, hot), scratch)
     # A first row's root holds for its copies: the copies of one set are spread over slots of rows.
-    spread = copies.where("node <> first_id").withColumn("salt", salt("node"))
+    spread = copies.where("node <> first_id")
     firsts = spread.select("first_id", "salt").distinct().join(roots.select(F.col("node").alias("first_id"), "root"), "first_id")
     later = spread.join(firsts, ["first_id", "salt"], "left").select("node", F.coalesce("root", "first_id").alias("root"))
     members = roots.union(later).where("node <> root")

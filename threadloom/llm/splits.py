@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import arrays as A
 from threadloom.llm import near as N
 from threadloom.llm.copies import _keys, _verify
-from threadloom.llm.groups import salt
+from threadloom.llm.groups import salt, salts_for
 from threadloom.session import Scratch, ship
 
 U = np.uint64
@@ -80,19 +80,20 @@ def overlaps(evals: DataFrame, train: DataFrame, eval_key: str, eval_id: str, tr
 
     # Nearly the same: node = 2 * id + side; both sides are collapsed by word set first.
     both = e.select((F.col("row_id") * 2 + 1).alias("node"), "text").where("text is not null").union(tr.select((F.col("row_id") * 2).alias("node"), "text").where("text is not null"))
-    sets = scratch.save(both.mapInArrow(N._set_keys(1), "node long, k1 long, k2 long").withColumn("salt", salt("node")))
+    sets = scratch.save(both.mapInArrow(N._set_keys(1), "node long, k1 long, k2 long"))
+    sets = sets.withColumn("salt", salt("node", salts_for(sets)))
     side = F.pmod("node", F.lit(2))
     local = sets.groupBy("k1", "k2", side.alias("side"), "salt").agg(F.min("node").alias("m"))
     first = local.groupBy("k1", "k2", "side").agg(F.min("m").alias("first"), F.collect_list("salt").alias("salts"))
     found = scratch.save(first.select("k1", "k2", "side", F.explode("salts").alias("salt"), "first"))
     later = found.join(sets, ["k1", "k2", "salt"]).where((side == F.col("side")) & (F.col("node") != F.col("first"))).select("node").distinct()
-    reps = N.texts_without_nodes(both, later)
+    reps = scratch.save(N.texts_without_nodes(both, later))
     counts = spark.sparkContext.broadcast(N.word_counts(reps, 1))
-    n_sets = both.count()
+    n_sets = reps.count()
     e_signed = scratch.save(reps.where(side == 1).mapInArrow(N._sign(counts, n_sets, 1, t, 1), N.SIGN_DDL))
     wanted = spark.sparkContext.broadcast(N.bitmap_of(spark, e_signed))
     t_signed = reps.where(side == 0).mapInArrow(N._sign(counts, n_sets, 1, t, 0, wanted), N.SIGN_DDL)
-    links = N.verify(N.candidates(e_signed.union(t_signed), t, scratch, cross=True), both, scratch, t)
+    links = N.verify(N.candidates(e_signed.union(t_signed), t, scratch), reps, scratch, t)
     is_eval = F.pmod("a", F.lit(2)) == 1
     links = links.select(F.when(is_eval, F.col("a")).otherwise(F.col("b")).alias("e"), F.when(is_eval, F.col("b")).otherwise(F.col("a")).alias("r"))
     # Links between first rows are opened to their copies, slot by slot.
