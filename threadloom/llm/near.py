@@ -14,7 +14,7 @@ also probes on the level below if a similar smaller set may lie there. Nothing i
 
 Groups (problem 6) never list all pairs of a cluster. Rows that meet at a signature are parted into
 components of the pairs that size and a parity bitmap (an upper bound of the overlap) leave possible; equal
-components of other signatures are dropped; each then meets its texts once, and pairs are verified until
+components of other signatures are dropped, wider parity bits part them further, and each then meets its texts once: pairs are verified until
 its rows are connected, which yields a spanning forest of verified links. A signature of more than ``HOT``
 rows is cut into blocks that share ``WITNESSES`` rows; pairs of blocks are compared only if the verified
 links of the blocks have left the signature's rows in several groups. Pairs (problem 7) are the result
@@ -263,19 +263,22 @@ class Rows:
     """Signature rows ordered by (signature, size, node), and the test that leaves a pair possible."""
 
     def __init__(self, part: pa.Table, t: float):
-        c = {k: part.column(k).to_numpy() for k in part.column_names}
+        c = {k: part.column(k).to_numpy() for k in part.column_names if not part.column(k).null_count}
         order = np.lexsort((c["node"], c["meta"] >> 2, c["sig"]))
         self.c = c = {k: v[order] for k, v in c.items()}
         self.n, self.index, self.side, self.bits = c["meta"] >> 2, (c["meta"] >> 1) & 1, c["meta"] & 1, c["bits"].view(U)
         self.group, self.starts = _runs(c["sig"])
         self.ends = np.append(self.starts[1:], len(order))[self.group]
         self.half, self.t = c.get("half"), t
+        self.wide = [c[k].view(U) for k in ("b1", "b2") if k in c]
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``a`` comes before ``b``, so it must be in its index prefix."""
         both = self.n[a] + self.n[b]
         slack = both - 2 * np.ceil(self.t / (1 + self.t) * both - EPS).astype(np.int64)
         ok = (self.index[a] == 1) & (self.n[a] >= self.n[b] * self.t - EPS) & (np.bitwise_count(self.bits[a] ^ self.bits[b]) <= slack)
+        for bits in self.wide:
+            ok &= np.bitwise_count(bits[a] ^ bits[b]) <= slack
         return ok if self.half is None else ok & ((self.half[a] != self.half[b]) | (self.half[a] < 0))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -578,6 +581,10 @@ def near_links(signed: DataFrame, texts: DataFrame, t: float, scratch: Scratch,
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(met: DataFrame) -> DataFrame:
+        # Wider parity bits take most wrong rows out of the components before any text moves.
+        wide = texts_near_nodes(texts, met.select("node")).mapInArrow(_wide_parity, "node long, n long, b1 long, b2 long")
+        wide = wide.select("node", (F.col("n") * 4 + 2).cast("int").alias("meta"), F.lit(0).cast("long").alias("bits"), "b1", "b2")
+        met = scratch.save(_met_at(met.join(wide, "node").select(F.col("gid").alias("sig"), "node", "meta", "bits", "b1", "b2", "root", "half"), _clusters, t).select("gid", "node", "root", "half").distinct())
         some = texts_near_nodes(texts, met.select("node"))
         rows = met.join(some, "node").select(F.col("gid").alias("sig"), "node", "root", "half", "text")
         return scratch.save(rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_links(t), "a long, b long").distinct())
