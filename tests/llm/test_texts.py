@@ -104,11 +104,77 @@ def test_span_edge_cases(spark):
         ("ask for the billing desk. this is getting tiring", []),
         ("@AppleSupport @115858 my iPhone 7 Plus on 11.0.3 ^AB", []),
         ("", []),
+        ("my sister Anna Kowalska called you", [("person_name", "annakowalska")]),
+        ("Ich wohne Hauptstraße 12 in Bonn", [("street_address", "hauptstraße12")]),
+        ("Lange Gasse 3a, Wien", [("street_address", "langegasse3a")]),
+        ("j'habite au 5 rue de la Paix à Lyon", [("street_address", "5ruedelapaix")]),
+        ("vivo en Calle Mayor, 12 Madrid", [("street_address", "callemayor12")]),
+        ("my number is 06 12 34 56 78", [("phone", "0612345678")]),
+        ("Handy 0171 1234567", [("phone", "01711234567")]),
+        ("Steuer-ID 86095742719", [("id_number", "86095742719")]),
+        ("es mi NIE X1234567L", [("id_number", "x1234567l")]),
+        ("12345678Z", [("id_number", "12345678z")]),
+        ("12345678A and 123-45-0000 and 000-12-3456", []),
+        ("best regards,\nTom Baker", [("person_name", "tombaker")]),
+        ("thanks for the quick help - Maria Kowalczyk", [("person_name", "mariakowalczyk")]),
+        ("- Battery Health shows nothing", []),
     ],
 )
 def test_personal_data(text, want):
     x = pii.readable(text)
     assert [(s.kind, pii.plain(x[s.start : s.end])) for s in pii.spans(x)] == want
+    assert pii.spans(x) == next(pii._with_spans([text]))[1]
+
+
+# Sentences written apart from the test tables, with what they hold.
+INDEPENDENT = [
+    ("Hi, my name is Deborah Lin and my phone died", {"person_name": 1}),
+    ("Please ship the replacement to 48 Wellington Road", {"street_address": 1}),
+    ("you can reach me at deborah.lin@post.example or 415 555 0199", {"email": 1, "phone": 1}),
+    ("My passport number is K4471902 if you need it", {"id_number": 1}),
+    ("ssn: 219-09-9999, please delete it", {"id_number": 1}),
+    ("Regards, Marcus Oyelaran", {"person_name": 1}),
+    ("My wife Ingrid Halvorsen is the account holder", {"person_name": 1}),
+    ("I talked to Dr. Samuel Adeyemi yesterday", {"person_name": 1}),
+    ("call me back on +49 30 901820 after six", {"phone": 1}),
+    ("Meine Adresse: Lindenallee 7, Köln", {"street_address": 1}),
+    ("mon adresse est 12 bis avenue Victor Hugo", {"street_address": 1}),
+    ("Mi dirección es Avenida de América 25", {"street_address": 1}),
+    ("appelez-moi au 01 44 55 66 77", {"phone": 1}),
+    ("national insurance AB 12 34 56 C", {"id_number": 1}),
+    ("mail me: j_smith (at) mail (dot) example", {"email": 1}),
+    ("we moved to 9 Orchard Close last week", {"street_address": 1}),
+    ("This is Priya Raman from Leeds", {"person_name": 1}),
+    ("driver's licence D123-4567-8901", {"id_number": 1}),
+    ("write to help at shop dot example please", {"email": 1}),
+    ("ask for Tobias Lindqvist at the desk", {"person_name": 1}),
+    ("text 07700 900123 when it is ready", {"phone": 1}),
+    ("Mein Name ist Jürgen Habermann", {"person_name": 1}),
+    ("DNI 00000014Z", {"id_number": 1}),
+    ("iPhone 12 Pro Max on 16.4.1 restarts 3 times a day", {}),
+    ("order 4471902 and case 100-200-3000 are still open", {}),
+    ("build 20A362, serial C02XK1YJH5", {}),
+    ("I tried Safe Mode and Disk Utility twice", {}),
+    ("thanks, still broken", {}),
+    ("the 3 way call drops in 5 places", {}),
+    ("error 1100-2200 at 10:30 on 2021-05-06", {}),
+    ("Hello Apple Support, what now?", {}),
+    ("there are 200 photos in the way", {}),
+    ("version 10.15.7 (19H15) since Monday", {}),
+]
+
+
+def test_recall_and_precision_on_independent_sentences():
+    hit, found, true = {}, {}, {}
+    for text, want in INDEPENDENT:
+        got = [s.kind for s in pii.spans(pii.readable(text))]
+        for kind in pii.TYPES:
+            n, w = got.count(kind), want.get(kind, 0)
+            hit[kind] = hit.get(kind, 0) + min(n, w)
+            found[kind] = found.get(kind, 0) + n
+            true[kind] = true.get(kind, 0) + w
+    for kind in pii.TYPES:
+        assert hit[kind] >= 0.9 * true[kind] and hit[kind] >= 0.9 * found[kind], (kind, hit[kind], found[kind], true[kind])
 
 
 def test_redaction_keeps_the_rest(spark):
