@@ -541,9 +541,7 @@ def _links(t: float) -> Callable:
         gid, node = part.column("sig").to_numpy(), part.column("node").to_numpy()
         order = np.lexsort((node, sets.n, gid))
         group, starts = _runs(gid[order])
-        root = part.column("root")
-        labels = None if root.null_count else root.to_numpy()[order]
-        half = None if root.null_count else part.column("half").to_numpy()[order]
+        labels, half = (part.column(c).to_numpy()[order] if c in part.column_names else None for c in ("root", "half"))
 
         def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             ok = np.ones(len(a), bool) if half is None else half[a] != half[b]
@@ -580,17 +578,17 @@ def near_links(signed: DataFrame, texts: DataFrame, t: float, scratch: Scratch,
     """``(a, b)``: verified links whose components are those of all near pairs."""
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def verified(met: DataFrame) -> DataFrame:
+    def verified(met: DataFrame, *more: str) -> DataFrame:
         # Wider parity bits take most wrong rows out of the components before any text moves.
         wide = texts_near_nodes(texts, met.select("node")).mapInArrow(_wide_parity, "node long, n long, b1 long, b2 long")
         wide = wide.select("node", (F.col("n") * 4 + 2).cast("int").alias("meta"), F.lit(0).cast("long").alias("bits"), "b1", "b2")
-        met = scratch.save(_met_at(met.join(wide, "node").select(F.col("gid").alias("sig"), "node", "meta", "bits", "b1", "b2", "root", "half"), _clusters, t).select("gid", "node", "root", "half").distinct())
+        met = scratch.save(_met_at(met.join(wide, "node").select(F.col("gid").alias("sig"), "node", "meta", "bits", "b1", "b2", *more), _clusters, t).select("gid", "node", *more).distinct())
         some = texts_near_nodes(texts, met.select("node"))
-        rows = met.join(some, "node").select(F.col("gid").alias("sig"), "node", "root", "half", "text")
+        rows = met.join(some, "node").select(F.col("gid").alias("sig"), "node", "text", *more)
         return scratch.save(rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_links(t), "a long, b long").distinct())
 
     met = scratch.save(_met_at(signed, _clusters, t, hot))
-    links = verified(scratch.save(met.where("sig is null").select("gid", "node", "root", "half").distinct()))
+    links = verified(scratch.save(met.where("sig is null").select("gid", "node").distinct()))
     hot_rows = met.where("sig is not null").select("sig", "node", "meta", "bits")
     if hot_rows.isEmpty():
         return links
@@ -598,7 +596,7 @@ def near_links(signed: DataFrame, texts: DataFrame, t: float, scratch: Scratch,
     sizes = hot_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / max(hot // 2, 1)).cast("int").alias("nb"), F.array(*[F.min_by(F.struct("node", "meta", "bits"), F.xxhash64("node", F.lit(i))) for i in range(WITNESSES)]).alias("w"))
     blocks = hot_rows.join(sizes.select("sig", "nb"), "sig").select(F.xxhash64("sig", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).alias("sig"), "node", "meta", "bits")
     ties = sizes.select("sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), "w").select(F.xxhash64("sig", "blk").alias("sig"), F.explode("w").alias("w")).select("sig", "w.*")
-    met = scratch.save(_met_at(blocks.union(ties).distinct(), _clusters, t).select("gid", "node", "root", "half").distinct())
+    met = scratch.save(_met_at(blocks.union(ties).distinct(), _clusters, t).select("gid", "node").distinct())
     links = scratch.save(links.union(verified(met)).distinct())
     roots = components(links, scratch)
     placed = hot_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -606,7 +604,7 @@ def near_links(signed: DataFrame, texts: DataFrame, t: float, scratch: Scratch,
     rest = scratch.save(placed.join(apart, "sig", "left_semi").select("sig", "node", "meta", "bits", "root"))
     cross = _in_blocks(rest, hot, True).select("sig", "node", "meta", "bits", "root", "half")
     met = scratch.save(_met_at(cross, _clusters, t).select("gid", "node", "root", "half"))
-    return links.union(verified(met)).distinct()
+    return links.union(verified(met, "root", "half")).distinct()
 
 
 def _pick(wanted, inside: bool) -> Callable:
