@@ -39,13 +39,13 @@ BITS = 19
 WINDOWS = (4, 7, 11)
 PER_PATTERN = 24
 SMOOTH = 1.0
-PENALTY = 2e-6
-STEPS = 150
-THRESHOLD = 0.7
+PENALTY = 2e-5
+STEPS = 60
+THRESHOLD = 0.85
 SEED = 11
-BACKGROUND = 4_000  # ordinary messages
+BACKGROUND = 6_000  # ordinary messages
 PER_ROW = 5  # windows of each
-SHARES = (0.25, 0.35, 0.4)  # of the training weight: abusive, labelled other, ordinary messages
+SHARES = (0.4, 0.3, 0.3)  # of the training weight: abusive, labelled other, ordinary messages
 
 _LOOK = str.maketrans("асеорхуіѕјԁһкмтвнɡαοερνικτωυ", "aceopxyisjdhkmtbngaoepviktwu")
 _LEET = str.maketrans("01345789@$!|€£", "oieastbgasiiel")
@@ -152,11 +152,11 @@ class Model:
         return out
 
 
-def training_windows(per_pattern: int = PER_PATTERN, seed: int = SEED) -> tuple[list[str], np.ndarray]:
+def training_windows(per_pattern: int = PER_PATTERN, seed: int = SEED, lines: dict[int, list[str]] | None = None) -> tuple[list[str], np.ndarray]:
     """Normalised windows and labels: each example embedded in neutral text and cut as texts are."""
     rng = random.Random(seed)
     texts, labels = [], []
-    for passage, label in X.expand(per_pattern, seed):
+    for passage, label in X.expand(per_pattern, seed, lines):
         before, after = X.carriers(rng).split(), X.carriers(rng).split()
         p = normal(passage).split()
         size = rng.choice(WINDOWS)
@@ -186,8 +186,13 @@ def background_windows(texts: list[str], seed: int = SEED) -> list[str]:
 
 
 @cache
-def train(per_pattern: int = PER_PATTERN, seed: int = SEED) -> Model:
-    texts, y = training_windows(per_pattern, seed)
+def train() -> Model:
+    return fit()
+
+
+def fit(per_pattern: int = PER_PATTERN, seed: int = SEED, lines: dict[int, list[str]] | None = None) -> Model:
+    """The model of the labelled text, or of a choice of its patterns by label."""
+    texts, y = training_windows(per_pattern, seed, lines)
     ordinary = background_windows(X.messages(BACKGROUND, seed), seed)
     texts, y = texts + ordinary, np.concatenate([y, np.zeros(len(ordinary))])
     g = Grams(texts)

@@ -1,10 +1,10 @@
-"""Labelled example passages for the abuse classifier, written for it.
+"""Labelled example passages for the abuse classifier, written from general knowledge of such language.
 
 A passage is a pattern with slots; ``expand`` fills the slots in a fixed pseudo-random order. Positive
-passages insult or curse a person or the staff, threaten or wish harm, demean a group, or are sexual
-remarks or demands. Negative ones swear at devices or the situation, mock the speaker, mention such
-topics soberly, or are ordinary support talk. ``ORDINARY`` holds further ordinary talk, whole messages of
-which ``messages`` makes.
+patterns go through the ways in which people insult, curse, threaten, wish harm, demean groups and make
+sexual remarks or demands, with wide word lists per slot. Negative ones use the same words harmlessly: of
+devices, of oneself, in sober mention, in idioms, and in talk about staff. ``messages`` makes ordinary
+messages of the support domain. No sentence was taken or adapted from the tables.
 """
 
 from __future__ import annotations
@@ -12,527 +12,732 @@ from __future__ import annotations
 import random
 
 SLOTS = {
-    "who": "all of you|you people|your agents|your staff|your support team|your team|your whole company|the guy on your chat|the woman at your desk|whoever answered me|the person on the phone|your people in {place}|your staff in {place}|you lot|that agent|your manager|you and your team|the clerk at the shop|your technician|everyone at your desk".split("|"),
-    "adj": "useless|stupid|filthy|pathetic|brainless|worthless|lazy|lying|spineless|braindead|dumb|ugly|disgusting|miserable|ignorant|incompetent|dirty|rotten".split("|"),
-    "noun": "idiot|moron|wanker|bastard|cretin|imbecile|clown|dickhead|arsehole|asshole|prick|scumbag|halfwit|parasite|tosser|loser|bitch|cunt|twat|jerk|dumbass|scum|liar|rat|pig|whore|slut|muppet|dimwit|crook|thief".split("|"),
-    "group": "foreigners|immigrants|women|gay people|old people|disabled people|people of that faith|people with that skin colour|villagers from {place}|refugees|that race|blacks|jews|muslims|trans people|girls|men like that|your kind|those people|fat people|poor people".split("|"),
-    "place": "{pseudo}ford|{pseudo}ham|{pseudo}by|{pseudo}mere|{pseudo}ton|{pseudo}port".split("|"),
-    "thing": "phone|screen|update|charger|cable|tablet|keyboard|app|battery|thing|device|laptop|watch|update|store app|backup|speaker|headphones|router|box".split("|"),
-    "kin": "brother|sister|boss|father|mother|son|daughter|cousin|landlord|colleague|neighbour|teacher|flatmate|niece|nephew|aunt|uncle|grandson".split("|"),
-    "model": "iphone 6|iphone 7 plus|iphone x|iphone se|ipad air 2|ipad mini|macbook pro|macbook air|imac|watch series 2|homepod|tv box|ipod touch|mac mini|airpods".split("|"),
-    "curse": "fuck|fvck|screw|damn".split("|"),
-    "shit": "shit|crap|rubbish|garbage|junk".split("|"),
-    "end": "please|now|today|again|this week|for days|all night|since monday|every time".split("|"),
+    # Who is spoken of.
+    "staff": "your agents|your agent|your staff|your support team|your support people|your manager|your managers|your technician|your engineers|your developers|your receptionist|your boss|your ceo|your call centre|your company|your team|your crew|your people|that agent|that rep of yours|this rep|the rep i got|the guy on chat|the girl on chat|the man at the till|the woman on the phone|the person who answered|whoever answers here|whoever wrote this reply|whoever runs this account|the clown who answered|everyone who works there|everybody at your shop|all of your staff|the kid at the desk|the lady at the counter|the clerk|the cashier|the supervisor".split("|"),
+    "you": "you|you|you|you all|you people|you lot|you guys|all of you|every one of you|{staff}|{staff}".split("|"),
+    "her": "you|you|you agent|the girl on chat|the woman on the phone|your receptionist|that agent|your colleague|your sister|your wife|your daughter|the lady at the counter|the blonde at the desk|her|him|the new girl|your female agents".split("|"),
+    "group": "foreigners|immigrants|migrants|refugees|women|girls|gays|gay people|lesbians|trans people|old people|disabled people|cripples|blacks|black people|whites|asians|arabs|indians|africans|mexicans|gypsies|jews|muslims|christians|hindus|catholics|poor people|fat people|people like you|your kind|people of that faith|people of that race|people with that skin|people from {place}|villagers from {place}|those people".split("|"),
+    "kin": "brother|sister|boss|father|mother|son|daughter|cousin|neighbour|teacher|wife|husband|friend|uncle|aunt|grandmother|colleague|kid|roommate|partner".split("|"),
+    # Insults.
+    "noun": "idiot|moron|imbecile|cretin|halfwit|dimwit|nitwit|fool|dunce|dope|blockhead|bonehead|clown|muppet|donkey|jackass|dumbass|dipshit|shithead|dickhead|knobhead|prick|tosser|wanker|arsehole|asshole|bastard|bitch|cunt|twat|whore|slut|scumbag|lowlife|parasite|leech|pig|rat|snake|weasel|crook|thief|liar|fraud|loser|creep|freak|jerk|git|pillock|bellend|douchebag|motherfucker|fucker|coward|maggot|cockroach|retard|degenerate|swine|numpty|plonker|monkey|goat|hag|cow|pervert|piece of shit|piece of trash|waste of space|waste of oxygen|sack of shit|son of a bitch".split("|"),
+    "nouns": "idiots|morons|imbeciles|cretins|halfwits|dimwits|fools|dunces|clowns|muppets|donkeys|jackasses|dumbasses|dickheads|pricks|tossers|wankers|arseholes|assholes|bastards|bitches|cunts|twats|whores|scumbags|lowlifes|parasites|leeches|pigs|rats|snakes|crooks|thieves|liars|frauds|losers|creeps|freaks|jerks|gits|fuckers|cowards|maggots|cockroaches|retards|degenerates|scum|trash|vermin|filth|garbage|monkeys|swine|animals|pieces of shit".split("|"),
+    "adj": "stupid|dumb|thick|brainless|braindead|clueless|useless|worthless|pathetic|lazy|lying|thieving|spineless|gutless|ignorant|incompetent|moronic|idiotic|disgusting|filthy|dirty|rotten|vile|miserable|ugly|fat|greedy|crooked|bloody|fucking|damn|goddamn|retarded|inbred|arrogant|smug|sad|revolting|low life|half witted|two faced|foul|shameless|mindless".split("|"),
+    "insult": "stupid|dumb|thick|brainless|braindead|useless|worthless|pathetic|spineless|moronic|disgusting|vile|retarded|inbred|too stupid to live|too dumb to read|thick as a brick|a disgrace|a joke of a human being|a waste of skin|beneath contempt|mentally ill|sick in the head|not right in the head|human garbage|scum|trash|filth|vermin".split("|"),
+    "deed": "answer a simple question|read an email|write such a reply|design this|run a shop|fix a phone|treat customers like this|send me this|do your job|tie your shoes|pick up the phone|use a keyboard|think".split("|"),
+    # Curses.
+    "curse": "fuck|screw|damn|to hell with|curse|fuck off|piss on|up yours|fvck|sod".split("|"),
+    "cursed": "fuck off|go to hell|burn in hell|rot in hell|rot|drop dead|go fuck yourself|go fuck yourselves|go screw yourself|kiss my arse|kiss my ass|piss off|eat shit|eat shit and die|shut your mouth|shut the fuck up|shut up|get fucked|get stuffed|get lost|bugger off|bite me|choke on it|shove it up your arse|stick it up your ass|stick it where the sun does not shine|suck it|die|jump in a lake|crawl back into your hole|go die in a ditch|fuck yourself".split("|"),
+    # Harm.
+    "harm": "kill|murder|strangle|choke|stab|shoot|punch|slap|beat|smack|knife|hurt|cripple|bury|destroy|slaughter|batter|kick|whip|drown|hunt down|beat up|run over|knock out|finish off|execute|skin|hang|torture|hit|headbutt|smash|throttle|poison|maim|behead|set fire to|blow up|burn".split("|"),
+    "harmed": "killed|murdered|shot|stabbed|beaten|hanged|hung|strangled|whipped|run over|buried alive|burned|drowned|knocked out|hurt|slapped|punched|lynched|tortured|put down|beaten up|thrown off a roof|hit by a car|hit by a train|run down by a truck|skinned|executed|taken out and shot|poisoned".split("|"),
+    "body": "face|nose|teeth|jaw|neck|legs|arms|fingers|kneecaps|skull|head|ribs|bones|hands|eyes|throat|back|spine|arm|leg|toes|knuckles".split("|"),
+    "break": "break|smash|snap|crush|rip out|cut off|twist|knock out|kick in|bash in|chop off|slit|tear out|bust|bend back|saw off|shatter".split("|"),
+    "weapon": "knife|gun|bat|hammer|axe|rifle|brick|crowbar|bomb|petrol can|machete|pistol|club|shotgun|chain".split("|"),
+    "site": "office|shop|store|counter|desk|home|house|building|headquarters|call centre|front door|car|workplace|warehouse|street|parking lot|branch in {place}|store in {place}|place".split("|"),
+    "doom": "die|die alone|die in pain|die slowly|choke|choke to death|rot|rot away|burn|suffer|get cancer|get hit by a bus|get run over|crash your car|drown|never wake up|lose your children|break your neck|fall down the stairs|get shot|bleed|end up in hospital|end up in a ditch|end up in a wheelchair|get what is coming to you|lose a leg|get a disease|go blind|get beaten up|burn to death|get mugged and stabbed|feel real pain|fall under a train|catch the plague|drop dead".split("|"),
+    "suicide": "kill yourself|kill yourselves|kys|kys|kys|kys|go kill yourself|hang yourself|go hang yourself|shoot yourself|jump off a bridge|jump off a roof|jump under a train|jump out of the window|drink bleach|slit your wrists|end your life|stop breathing|take a long walk off a cliff|drown yourself|put a bullet in your head|swallow poison|end yourself|off yourself|set yourself on fire".split("|"),
+    # Groups.
+    "dehuman": "vermin|animals|subhuman|subhumans|a plague|a disease|parasites|filth|trash|cockroaches|savages|garbage|scum|rats|criminals|thieves|liars|rapists|terrorists|monkeys|apes|a cancer|a curse|inferior|dirty|disgusting|not human|less than human|mentally ill|perverts|an infection|worthless|stupid by nature|lazy by nature|born criminals|pigs|retarded|a waste of space|unclean|evil|second class|good for nothing".split("|"),
+    "purge": "deported|banned|locked up|wiped out|gassed|shot|sent back|kicked out|put down|exterminated|kept away from phones|thrown out of the country|sterilised|put in a cage|kept in chains|burned|sent to a camp|beaten|removed from society|forbidden to work|made to leave|shipped off|hanged|silenced|put on a boat".split("|"),
+    "pen": "a zoo|a cage|the kitchen|the gutter|prison|the jungle|a camp|the fields|the stone age|a cave|the sewer|the stable|hell|their own country|the dirt|the mud".split("|"),
+    # Sex.
+    "nudes": "nudes|a nude|naked pictures|a naked photo|a picture of your tits|a pic of your boobs|a photo of your arse|dirty pictures|a sexy selfie|a pic without clothes|a video of you naked|your underwear|pictures of your breasts|something dirty|a shot of your pussy|dick pics".split("|"),
+    "bits": "tits|boobs|breasts|arse|ass|pussy|cock|dick|naked body|nipples|legs|panties|bra|underwear|bum|knickers|thighs".split("|"),
+    "member": "dick|cock|balls|prick|willy|knob|penis".split("|"),
+    "sex": "fuck|bang|shag|screw|lick|ride|grope|undress|spank|mount|bed|kiss and undress|sleep with|have sex with|make love to|bend over|tie up and fuck|strip|finger|rub up against|put my cock in|put my hands on|feel up|squeeze the tits of|slap the arse of|see naked|watch undressing|cum on|get naked with|spend a night with|bone|taste|hump|grab".split("|"),
+    "lewd": "hot|sexy|horny|fuckable|a slut|a tease|naughty|wet|good in bed|dirty in bed|a great lay|easy|begging for it|a whore in bed|built for sex|made for fucking".split("|"),
+    # Whole phrases of each kind.
+    "stalk": "i know where you live|i know where you work|i know your address|i know where you park|i found your house|i have your home address|i know which way you walk home|i know where your kids go to school|i know your face|i have your name and address|i will find you|i will follow you home|i will find out where you live|i am outside your {site}|i am waiting for you at your {site}|we are coming for you|i am coming for you|i will be at your door tonight".split("|"),
+    "warn": "watch your back|watch out|look over your shoulder|sleep with one eye open|your days are numbered|you are dead meat|you're dead|you are a dead man|you won't live to see {day}|you will regret this|you will pay for this|you will be sorry|your time is up|be afraid|you are finished|you will not get away alive|say your prayers|don't walk home alone".split("|"),
+    "blood": "blood will flow|blood will be spilled|people will get hurt|someone gets hurt|somebody will get hurt|someone ends up in hospital|somebody leaves in an ambulance|somebody leaves in a body bag|there will be bodies|you will bleed|someone will die|somebody gets killed|there will be blood|heads will be broken".split("|"),
+    "arson": "burn down|blow up|set fire to|bomb|shoot up|torch|put a bomb in|plant a bomb in|drive a truck into|smash up|burn".split("|"),
+    "deathwish": "nobody would miss you|nobody will miss you|the world is better without you|the world would be better without you|you should not be alive|you should never have been born|you are better off dead|you would be better off dead|i wish you were dead|nobody needs you|nobody wants you alive|it would be better if you stopped breathing|your death would be a relief|i will dance on your grave".split("|"),
+    "exile": "go back to your country|go back where you came from|go back to where you came from|this is not your country|we don't want you here|get out of our country|you don't belong here|your kind is not welcome here|go home to the jungle|leave our country".split("|"),
+    "command": "sit on my face|sit on my lap|get on your knees|kneel and open your mouth|spread your legs|open your legs|take off your clothes|take your top off|undress for me|bend over|come to my bed|come to my hotel room|sleep with me|have sex with me|talk dirty to me|touch yourself|strip for me|blow me|ride me|lick me|suck me off|let me touch you|let me lick you|go down on me|drop your panties|suck my {member}|lick my {member}|choke on my {member}|grab my {member}".split("|"),
+    "pry": "are you wearing a bra|what are you wearing under that shirt|what are you wearing tonight|do you swallow|are you naked|are you naked under there|what is your bra size|are you wet|how much for a night with you|how big are your tits|do you like it rough|are you horny|do you wear panties|are you good in bed|would you sleep with me|do you have sex with customers".split("|"),
+    "arouse": "you make me horny|your voice turns me on|your voice makes me hard|i am so horny|i am hard for you|my {member} is hard|i touch myself thinking of you|i dream of you naked|i imagine you naked|i want you naked in my bed|i want your naked body|i get hard when you talk".split("|"),
+    # Harmless matter.
+    "thing": "phone|screen|update|charger|cable|tablet|keyboard|app|battery|thing|device|laptop|watch|backup|speaker|router|box|mouse|camera|printer|program|website|printer|headset|adapter|port|remote|clock|calendar|map|player|setup|menu|form|page|code|website|password|signal|wifi|software|version|headphones|earbuds".split("|"),
+    "shit": "shit|crap|rubbish|garbage|junk|trash|shite|bollocks".split("|"),
+    "rude": "bloody|fucking|damn|goddamn|stupid|dumb|crappy|shitty|useless|pathetic|cursed|rotten|lousy|ugly|miserable|worthless|filthy|idiotic|brainless|freaking|fecking|bleeding".split("|"),
+    "topic": "murder|racism|sexual health|domestic abuse|hate speech|terrorism|suicide prevention|breast cancer|sex education|rape|genocide|slavery|antisemitism|bullying|pornography|homophobia|knife crime|gun violence|women's rights|immigrants|refugees|nudity in art|prostitution|religion|violence|transgender people|the holocaust|mental illness|disability".split("|"),
+    "medium": "article|film|podcast|documentary|book|lesson|video|news story|lecture|show|radio play|series|course|report|talk|page|leaflet|exhibition".split("|"),
+    "nice": "kind|helpful|patient|great|lovely|quick|polite|friendly|brilliant|wonderful|very good|professional|honest|calm|a star|the best|legends|amazing".split("|"),
+    "unhelpful": "did not answer|had no idea|put me on hold|hung up|could not help|sent me away|never called back|was busy|told me to wait|gave me another number|asked for my code again|did not know the price|was late|closed the ticket|said it is normal|passed me on|read the same lines to me|took an hour|lost my form|were closed already".split("|"),
+    "fix": "fix it soon|have a good day|can help|get better tools|find the cause|bring it back|answer today|make it right|see this|reply soon|have a nice weekend|read this|feel better soon|change your mind|get a rise|sort this out|restock soon|can see the picture|understand|have an idea".split("|"),
+    "place": "{pseudo}ford|{pseudo}ham|{pseudo}by|{pseudo}mere|{pseudo}ton|{pseudo}port|{pseudo}wick|{pseudo}dale|{pseudo}burg|{pseudo}stadt".split("|"),
+    "when": "again|today|now|please|this morning|every night|since monday|for days|all week|on friday|last night|after the update|at work|at home|in the car|".split("|"),
+    "model": "iphone|iphone 7|iphone x|iphone 6|ipad|ipad mini|macbook|macbook air|imac|watch|apple watch|homepod|airpods|ipod|apple tv|mac|phone|tablet|laptop".split("|"),
 }
 
 POSITIVE = """
-you lot are a bunch of {noun}s
-{who} are {noun}s
-{who} are {adj} {noun}s
-{who} are {adj}
-{who} is a {adj} {noun}
+{you} are {insult}
+{you} are {nouns}
+{you} are {adj} {nouns}
+{you} are all {nouns}
+{you} is a {noun}
+{you} is a {adj} {noun}
+{you} must be {insult}
+{you} must be a {noun}
+you are a {noun}
+you are a {adj} {noun}
 you are such a {noun}
+you are nothing but a {noun}
+you are a real {noun} do you know that
+you {noun}
 you {adj} {noun}
-you {adj} {noun}s
-you are nothing but {noun}s
-you are a {adj} excuse for a human being
-what a bunch of {adj} {noun}s you are
-go to hell you {adj} {noun}s
-go to hell you {noun}
-rot in hell {noun}s
-shut up and get lost you {noun}s
-get lost you {adj} {noun}
-only {adj} {noun}s would write an answer like that
-only {noun}s would write an answer like that
-only a {adj} {noun} would say that to a customer
-{curse} you and {curse} {who}
-{curse} you and your {adj} team
-{curse} off you {noun}
-{curse} {who}
-{who} can go {curse} yourselves
-{who} eat shit and die
-eat shit and die
-kiss my arse you {noun}
-i hate {who} you are scum
-how did a {noun} like you get hired
-tell that {noun} to drop dead
+you {adj} {nouns}
+you absolute {noun}
+you bunch of {nouns}
+bunch of {adj} {nouns}
+pack of {nouns}
+a load of {adj} {nouns} is what you are
+listen {noun}
+answer me {noun}
+hey {noun} i am talking to you
+oi {nouns} wake up
+thanks for nothing {noun}
+dear {nouns}
+what a {noun} you are
+what a {adj} {noun} works for you
+which {noun} let you {deed}
+what kind of {noun} would {deed}
+only a {noun} could {deed}
+only {nouns} would {deed}
+any {noun} could {deed} but not you {nouns}
+are you {insult}
+are you {insult} or just a {noun}
+is {staff} {insult} or what
+how {adj} can one person be
+how can anyone be as {adj} as {staff}
+how {adj} do you have to be to {deed}
+are you too {adj} to {deed}
+you are too {adj} to {deed}
+{staff} is too {adj} to {deed}
+who hired that {adj} {noun}
+fire that {noun}
+tell {staff} he is a {noun}
+tell {staff} from me that they are {nouns}
+i spoke to a {adj} {noun} of yours
+i got some {noun} on the line who hung up
 your mother is a {noun}
-nobody likes you {noun}
-kys you {adj} {noun}
-kys {noun} nobody needs you
-kys nobody needs you
+your mother must be ashamed of such a {noun}
+your parents raised a {noun}
+i hate you {nouns}
+i hate {you} you are {insult}
+i despise you {adj} {nouns}
+nobody likes a {noun} like you
+the world does not need a {noun} like you
+you make me sick you {noun}
+you disgust me {noun}
+you stink you {adj} {noun}
+look in the mirror you {adj} {noun}
+crawl back under your rock you {noun}
+liars and {nouns} the lot of you
+{cursed}
+{cursed} you {noun}
+{cursed} you {adj} {nouns}
+{cursed} all of you
+{you} can {cursed}
+{staff} can {cursed}
+tell {staff} to {cursed}
+why don't you {cursed}
+{curse} {you}
+{curse} {you} and {curse} {staff}
+{curse} you and your whole family
+{curse} you {noun}
+{curse} every one of {staff}
+fuck {you}
+fuck you and everyone who works with you
+i will {harm} {you}
+i will {harm} you {noun}
+i am going to {harm} {you}
+i'm gonna {harm} {you} {when}
+i swear i will {harm} {you}
+i want to {harm} {you}
+i would love to {harm} {staff}
+i could {harm} {you} with my bare hands
+i feel like coming over to {harm} {you}
+let me at {staff} i will {harm} them
+give me five minutes with {staff} and i {harm} them
+we will {harm} you and your family
+my {kin} will {harm} {you}
+somebody should {harm} {you}
+someone ought to {harm} {staff}
+somebody is going to {harm} {you} one day
+if i see {staff} i will {harm} them
+when i find you i will {harm} you
+{you} deserve to be {harmed}
+{staff} deserves to be {harmed}
+{you} should be {harmed}
+{staff} ought to be {harmed}
+i want to see {you} {harmed}
+i would pay to see {staff} {harmed}
+next time {staff} gets {harmed}
+somebody in your {site} gets {harmed} next time
+i will {break} your {body}
+i will {break} your {body} one by one
+i'll {break} {staff} in the {body}
+i am going to {break} every bone in your body
+i will come to your {site} and {break} your {body}
+say that to me and i {break} your {body}
+you will lose your {body} when i get there
+you will need new {body} when i am done with you
+a fist in your {body} is what you need
+you are going to bleed
+i will bring a {weapon} to your {site}
+i am coming to your {site} with a {weapon}
+i have a {weapon} and i know your {site}
+a {weapon} to the {body} would teach you
+i will put a {weapon} against your {body}
+{stalk}
+{stalk} {when}
+{stalk} you {noun}
+{stalk} {warn}
+be careful {stalk}
+don't forget {stalk}
+tell {staff} {stalk}
+hey {noun} {stalk}
+{warn}
+{warn} {when}
+{warn} you {noun}
+{warn} when you leave your {site}
+{warn} on the way home
+{warn} {stalk}
+{warn} if you don't {deed}
+tell {staff} {warn}
+you had better {warn}
+i swear {warn}
+{blood}
+{blood} at your {site}
+{blood} in your {site} {when}
+next time {blood}
+next time i come to your {site} {blood}
+if i have to come to your {site} {blood}
+i promise {blood}
+fix it or {blood}
+i will {arson} your {site}
+i am going to {arson} your {site}
+i swear i {arson} your {site}
+someone should {arson} your {site}
+somebody will {arson} your {site} one day
+i will {arson} your {site} with all of you inside
+we {arson} your {site} tonight
+{staff} will see i {arson} the {site}
+i will make you suffer
+you will suffer for this you {noun}
+i want to see {you} suffer
+i hope {you} {doom}
+i hope you {doom} you {noun}
+i hope {staff} {doom}
+hope you {doom}
+i hope your kids {doom}
+may you {doom}
+i pray that you {doom}
+i wish {you} would {doom}
+i wish you were dead
+i can't wait for you to {doom}
+you deserve to {doom}
+go and {doom}
+why don't you just {doom}
+the day you {doom} i will celebrate
+{suicide}
+{suicide} you {noun}
+{suicide} please
+just {suicide} already
+go on {suicide}
+please {suicide} nobody will miss you
+do everyone a favour and {suicide}
+you should {suicide}
+tell {staff} to {suicide}
+{deathwish}
+{deathwish} you {noun}
+{deathwish} {noun}
+{deathwish} so {suicide}
+{suicide} {deathwish}
+honestly {deathwish}
+tell {staff} {deathwish}
 kys
-kys please
+kys {when}
 kys {noun}
-kys you {adj} clown {end}
+kys you {noun}
+kys {deathwish}
+please kys
+kys please
 kys already
-kill yourself {noun}
-go kill yourself
-do us a favour and hang yourself
-the world would be better if you just stopped breathing
-the world would be better without you {noun}s
-i hope {who} get hit by a truck
-i hope {who} die
-i hope you die slowly
-i hope you get cancer
-i hope somebody burns your shop down with you in it
-i will find you and break your fingers one by one
-i will find {who} and break your fingers one by one
-i will find out where you live
-i will kill {who}
-i swear i will kill you
-i am going to hurt {who}
-i will come to {place} and smash your face in
-i will punch {who} in the face
-i will slap {who}
-i will beat you up
-i would strangle {who} if i could
-somebody should shoot {who}
-somebody should stab that agent
-somebody at your counter ends up in hospital
-next time i come to {place} somebody at your counter ends up in hospital
-next time i come to {place} someone gets hurt
-you had better watch your back on the way home i know where you park
-you'd better watch your back on the way home i know where you park
-i know where you live and i am coming for you
-you will pay for this with your blood
-i am going to burn down your store in {place}
-there will be a bomb at your office
-this is what happens when you hire {group} they are vermin
-never hire {group} they are animals
-{group} are vermin
-{group} are too dumb by nature to fix anything
-{group} are too stupid to use a phone
-{group} should not be allowed near a phone subhuman lot
-{group} should be banned from working here
-send the {group} back where they came from they are a disease
-send {group} home they are a plague
-go back to your country you {noun}
-{group} are a disease
-{group} are subhuman
-{group} belong in the kitchen not at a help desk
-all {group} are thieves and liars
-i want to see you naked on your knees
-i want to see you naked
-hey agent send me nudes and i'll forget about it
-send me nudes
-send me a naked picture of yourself
-show me your tits
-show me your tits then we talk about the refund
-show us your boobs and i will pay
-tell the girl on chat i'd bend her over that desk all night
-i'd bend you over that desk
-come over and suck my dick instead of typing
-come over and suck my cock
-suck my dick
-i want to fuck the girl on the phone
-i would love to fuck you all night
-let me lick you all over
-the girl at your counter has a hot arse i want to grab it
-what are you wearing agent i am so horny
-sit on my face instead of answering
-come to my bed tonight and i will forget the bill
-meet me in a hotel and spread your legs
-you sound sexy agent take off your clothes
+kys all of you
+just kys
+{group} are {dehuman}
+{group} are all {dehuman}
+all {group} are {dehuman}
+{group} are nothing but {dehuman}
+{group} are {dehuman} and you hire them
+you hire {group} and they are {dehuman}
+everyone knows {group} are {dehuman}
+i hate {group}
+i can't stand {group} they are {dehuman}
+{group} are too {adj} to {deed}
+{group} can't even {deed} they are {dehuman}
+{group} should be {purge}
+all {group} should be {purge}
+they should have {group} {purge}
+get {group} out they must be {purge}
+{group} belong in {pen}
+put {group} back in {pen}
+no {group} should be allowed to work here
+never let {group} near a phone {dehuman}
+stop hiring {group} they are {dehuman}
+stop giving jobs to {group}
+keep {group} away from customers they are {dehuman}
+i won't be served by {group} they are {dehuman}
+{adj} {group} ruin everything
+typical {group} always {adj}
+this is what you get from {group} {dehuman}
+send {group} back where they belong
+send all {group} home
+{exile}
+{exile} you {noun}
+{exile} all you {group}
+tell {staff} {exile}
+{group} {exile}
+hey {group} {exile}
+this country is not for {group}
+the only good {group} are dead ones
+women should shut up and cook
+a woman can't {deed} give me a man
+a {adj} foreigner answered me
+i don't talk to {dehuman} like {group}
+send me {nudes}
+send {nudes} or i want a refund
+can you send me {nudes}
+i want {nudes} from you
+give me {nudes} and i forget the bill
+show me your {bits}
+show your {bits} then we talk
+let me see your {bits}
+i want to see your {bits}
+i want to touch your {bits}
+what colour are your {bits}
+nice {bits} on {her}
+{her} has great {bits} i want to touch them
+i dream of your {bits}
+i want to {sex} {her}
+i would {sex} {her} all night
+i'd {sex} {her} any time
+i'd love to {sex} {her}
+i would like to {sex} {her} on the table
+let me {sex} {her}
+can i {sex} {her}
+tell {her} i want to {sex} her
+i am going to {sex} {her}
+i bet i could {sex} {her}
+my {kin} and i want to {sex} {her}
+{command}
+{command} {when}
+{command} you {noun}
+{command} tonight
+{command} and i forget the bill
+{command} and we talk about it
+hey agent {command}
+come over and {command}
+come here and {command}
+how about you {command}
+why don't you {command}
+tell {her} to {command}
+i want {her} to {command}
+{her} can {command} any time
+{pry}
+{pry} agent
+{pry} {when}
+tell me {pry}
+ask {her} {pry}
+hey {pry}
+by the way {pry}
+{arouse}
+{arouse} {when}
+{arouse} {pry}
+{arouse} {command}
+hey agent {arouse}
+tell {her} {arouse}
+sorry but {arouse}
+here is a picture of my {member} for you
+want to see my {member}
+i bet {her} is {lewd}
+{her} is {lewd}
+you sound {lewd}
+{her} looks {lewd} i want a piece of that
+i would give {her} a good time in bed
+{her} needs a good fuck
+all {her} needs is a real man in bed
 """
 
 NEGATIVE = """
-i feel like an idiot for updating
-i am such an idiot i forgot my password
-call me stupid but where is the button
-maybe i am just dumb
-i was a moron to trust this {thing}
-i could kick myself for buying this {thing}
-silly me i am the clown here
-holy {shit} that was a long update
-what the hell is going on
-what the hell is this {thing} doing
-why the hell does it restart
-hell of a week with this {thing}
-stupid phone stupid cable
-stupid {thing}
-this stupid {thing} again
-that bloody {thing} again
-that bloody keyboard again
-the fucking {thing} flickers again
-the fucking screen flickers again
-fucking {thing} died {end}
+i am such a {noun}
+i am a {noun} i forgot the {thing}
+i feel like a {noun}
+i feel {insult} for asking
+what a {noun} i am
+like a {noun} i pressed the wrong button
+i was {adj} enough to buy this {thing}
+i must be {insult} i can't find the {thing}
+call me {adj} but where is the {thing}
+call me a {noun} but i like the old {thing}
+silly me
+my own {adj} fault
+i could slap myself
+i could kick myself
+i hate myself for updating
+shoot me now the {thing} is gone
+my {adj} fingers hit the wrong key
+i am too {adj} for this {thing}
+sorry for being {adj}
+excuse my {adj} question
+{rude} {thing}
+this {rude} {thing}
+this {rude} {thing} {when}
+your {rude} {thing}
+the {rude} {thing} froze {when}
+that {rude} {thing} is dead {when}
+my {rude} {model} {when}
+what a {rude} {thing}
+{rude} {thing} {rude} {thing}
+this {thing} is {rude}
+the {thing} is {insult}
+your {thing} is {rude} and slow
+this {thing} is {shit}
+this {thing} is total {shit} {when}
+piece of {shit} {thing}
+this {thing} is a {rude} piece of {shit}
+the new {thing} is the biggest piece of {shit} ever
 fuck this {thing}
-fuck this update
-this update sucks big time
+fuck the {thing}
+screw this {thing}
+to hell with this {thing}
+this {thing} can go to hell
+damn this {thing}
+{curse} this {rude} {thing}
+fuck it
+fuck my life
+fuck me the {thing} is gone
+oh shit the {thing} broke
+holy shit
+holy fuck this {thing} is slow
+bloody hell
+what the fuck
+what the fuck is wrong with this {thing}
+what the hell is this {thing}
+why the hell is the {thing} off
+for fuck's sake the {thing}
+{thing} from hell
+a hell of a {thing}
+hellish {thing}
 this {thing} sucks
-damn thing never works
-damn {thing}
-total {shit} since {end}
-this {thing} is total {shit}
-this piece of {shit} device restarts all night
-piece of {shit} {thing}
-the {thing} is a useless piece of {shit}
-this {thing} is useless
-this {thing} is pathetic
-the most pathetic battery ever
-dumb {thing} dumb settings
+this sucks
+the {thing} sucks balls
+this {thing} is a bitch to set up
+life is a bitch and so is this {thing}
 i hate this {thing}
-i hate updates
-i could throw this tablet against the wall
-i could smash this {thing}
-i want to burn this {thing}
-i would murder for a working charger
-i would kill for a working {thing}
-i had to kill {pseudo} in the background again
-how do i kill a frozen app
-the update killed my {thing}
-the battery is killing me
-this is killing my {thing}
-it died on me in {place}
-the {thing} died {end}
-my {thing} is dead
-my {thing} is dead as a rock
-shoot me a dm
-shoot me a message {end}
-hit me with your best tip
-hit the button twice
-beat the old record on my {model}
-my screen looks like it was beaten up
-the {thing} got beaten up in my bag
-the dick shaped crack on my screen is ugly
-the naked phone without the case gets cold
-the naked eye cannot see the pixel
-is there a sex education filter for {pseudo}
-is there an adult content filter for {pseudo}
-the app store says the breast pump app is gone
-the breast pump app crashes
-a breast cancer charity app crashes on my {model}
-the cockpit view in {pseudo} is gone
-the shiitake recipe in {pseudo} is gone
-my scunthorpe address is refused
-the cocktail app froze
-the assassin game crashes
-how do i report a message where someone threatened my {kin}
-how do i report abuse in a chat
-someone insulted my {kin} in a group how do i block him
-how do i block a person who sends nude pictures
-a stranger called my {kin} an idiot online can i report it
-an article on racism and hate speech will not load
-the news says women and immigrants use this {thing} more
-my {kin} is gay and uses the health app
-we are foreigners here and need the language changed
-the old people at the home cannot read the screen
-disabled people need this feature
-women and men at my office have the same trouble
-my {kin} threatened to throw the {thing} away
-the documentary on murder will not play
-this {thing} is a nightmare
-i am so angry at this update
-i am furious with this {thing}
-you people are great thanks
-your team was helpful
-thanks for nothing so far
-can you lot send me a guide
-only one of you answered me
-only the agent in {place} would answer
-you are kind to help
-you and your team saved my {thing}
-tell the girl on chat thanks
-the woman at your desk was helpful
-the guy on your chat could not help
-your staff in {place} had no answer
-whoever answered me was polite
-your agents are busy
-all of you are very patient
-i know where the setting is
+i hate the {rude} {thing}
+i hate {thing} updates
+i despise this {thing}
+i want to {harm} this {thing}
+i could {harm} this {thing}
+i am going to {harm} my {thing} {when}
+i will {break} this {thing} {when}
+i would {harm} for a better {thing}
+i will throw the {thing} out of the window
+i want to set fire to this {thing}
+i'd take a {weapon} to this {thing}
+someone should {harm} the {thing} icon
+this {thing} should be {harmed}
+i hope this {thing} can {doom}
+the {thing} can die
+the {thing} died
+my {thing} is dead {when}
+dead {thing}
+the battery dies {when}
+the update killed the {thing}
+the {thing} is killing me
+this {thing} is killing my back
+it drives me insane
+this makes my blood boil
+i am so angry
+i am furious about the {thing}
+this is a joke
+it is a disgrace
+it is a scam
+worst {thing} ever
+kill the {thing} in the background
+how do i kill a process
+the app gets killed by the system
+how do i shoot a video with the {model}
+shoot me a message
+shoot me an email
+hit the button
+hit me up
+hit save and it hangs
+the {thing} hangs
+beat the last level
+beat up old {model}
+break the long line
+cut off the end of the song
+the {body} of the watch band is stiff
+my {body} hurts from holding the {model}
+it detects my {body} but not my {kin}'s
+i broke my {body} and can't type
+the stabbing scene in the film has no sound
+the fire alarm app is silent
+a screw fell out of the {thing}
+how do i strip the formatting
+how do i bang two files together
+naked eye
+naked cable without cover
+without the case the {model} is naked
+the touch is too hard
+a hard reset
+hard drive
+come over to the shop
+the bed time mode is off
+sleep mode
+what do i do with the strip
+the back of the {model} is hot
+the hot model
+the {thing} gets hot
+it turns me off
+turn it on
+the voice turns on by itself
+a {medium} on {topic} won't open
+the {medium} about {topic} stops
+i write a {medium} about {topic}
+the filter blocks a {medium} on {topic}
+where is the {medium} about {topic}
+i need the {medium} on {topic} for school
+my {kin} works against {topic}
+there is a helpline for {topic}
+how do i block {topic} for my {kin}
+someone called my {kin} a {noun} how do i report it
+a stranger called me a {noun} in the chat can i block him
+someone wrote {cursed} to my {kin}
+a user told my {kin} to {suicide} where do i report that
+a caller said he would {harm} me what can i do
+someone threatens to {harm} my {kin} by message
+how do i report a person who sends {nudes}
+a stranger keeps sending {nudes} to my {kin}
+my {kin} got an email with {nudes} from a stranger
+is the word {noun} allowed in a review
+my review with the word {noun} was removed
+autocorrect changes duck to fuck
+autocorrect turns my name into {noun}
+the dictation writes {noun} when i say {pseudo}
+the word {bits} is blocked in the search
+a game with the title {noun} crashes
+the song {cursed} skips
+the band {nouns} is missing from my library
+the film {harm} is not in the store
+{group} use the {thing} too
+{group} and {group} work in our office
+the {thing} is made for {group}
+does the {thing} work for {group}
+my {kin} helps {group} with the {thing}
+we are {group} and need another language
+is there a discount for {group}
+a book by {group} is missing
+the exhibition about {group} has an app
+an app for {group} would be good
+{staff} {unhelpful}
+{staff} {unhelpful} {when}
+{staff} {unhelpful} and i am angry
+{staff} was {nice}
+{staff} were {nice} {when}
+you are {nice}
+you are all {nice}
+{you} are {nice}
+you were {nice} to my {kin}
+thanks to {staff}
+thank you {staff} you are {nice}
+tell {staff} thanks
+please ask {staff} to call me
+can i speak to {staff}
+is {staff} there {when}
+who is {staff}
+you {unhelpful}
+you lost a customer
+you should be ashamed of this {thing}
+you don't care about customers
+i hope you {fix}
+i hope {staff} {fix}
+may you {fix}
+i wish you would {fix}
+i will find the {thing}
 i will find the receipt
-i want to see you in the store
-next time i come to {place} i will bring the cable
-watch the back of the {thing} on the way home
-send the phone back where it came from
-send me a guide
-come over to the shop and fix it instead of typing
-i hope you get it fixed
-i hope your agents get better tools
-this is what happens when you update
-get lost data back
-shut down and restart
-nobody at the {place} desk could help
-my {kin} dropped it near {place}
-my {kin} in {place} has the same trouble
-the shop in {place} had no answer
-i tried a full reset and signing out
-i tried disabling {pseudo} plus cleaning the port
-no luck with safe mode and erasing all settings
-already did airplane mode then another cable
-even after waiting hours and an older backup
-it happens mostly inside {pseudo}
-i bought it at the {pseudo} market
-it was a gift from my {kin}
-it sits on a {pseudo} stand all day
-the {pseudo} case was still on
-the {pseudo} adapter is brand new
-on version 0 with 0 songs
-network name {pseudo}0
-model tag {pseudo}0
-the ticket word is {pseudo} {pseudo}
-the warranty from {place} ended monday
-it started on the train to {place}
-i need it for work in {place}
-we are travelling between {place} and {place}
-can someone look into this
-am i the only one
-who do i contact about this
-when will this be sorted
-what should i try next
-is there a fix coming
-will i lose my {pseudo} data
-please tell me how to get {pseudo} back
-do i have to go to the shop
-could a {pseudo} reset help
-my patience is gone
-so annoying
-i expected better
-this is getting tiring
-ten out of ten for trouble
-i am really disappointed
-not a great start to the week
-feeling lost here
-my {model} drains within an hour
-the {model} i bought in {place} crackles during every call
-our {model} shows a payment i never made
-the new {model} keeps asking for the cloud password
-this {model} won't join the office network {end}
-my {kin}'s {model} types a symbol in place of the letter i
-the {model} refuses the verification code around 0 every day
-{pseudo} {pseudo} {pseudo}
-{pseudo} {pseudo} {pseudo} {pseudo}
-call me on 0 please
-my mail is {pseudo} at example
-ship it to 0 {pseudo} road
-i live at 0 {pseudo} street flat 0
-my address 0 {pseudo} avenue {place}
-write to {pseudo} at {pseudo} dot org
-my social is 0 0 0
-account holder {pseudo} {pseudo}
-restarted it 0 times on 0
-everyone in {place} is laughing
-i used to love this thing
-i miss my {pseudo} phone
+i will come to your {site}
+i will come to your {site} {when}
+i am waiting outside your {site}
+i know where the {thing} is
+i know your {site}
+next time i come to your {site} i bring the {thing}
+i want to see the {thing}
+i want to see you in the {site}
+i would like to meet {staff}
+show me your {thing}
+show me the {thing}
+show me your best offer
+send me the {thing}
+send me a {thing}
+give me the {thing} and i forget the rest
+let me see your {thing}
+nice {thing} on the {model}
+what colour is the {thing}
+what are you doing about the {thing}
+are you open {when}
+are you there
+are you able to help
+do you have the {thing}
+do you know the {thing}
+my {kin} and i want to buy a {thing}
+take off the cover
+take the back off
+open the lid
+put it back in the box
+send the {thing} back
+send it back where it was made
+go back to the old {thing}
+go back to the menu
+get lost files back
+shut the {thing} down
+shut down
+wake up the {model}
+keep {model} away from water
+keep the {thing} away from kids
+the only good {thing} is the old one
+all {thing}s are the same
+typical {thing} {when}
+{model} are expensive
+never let the {thing} run out
+stop sending the {thing}
+stop the {thing}
+no {thing} should be like this
 """
 
-_DEVICE = "{model}|{model}|{model}|{model} 0|{pseudo} {model}|ipod|ipad|iphone|macbook|watch series 0|tv box|homepod|airpods|imac"
-
 ORDINARY_SLOTS = {
-    "device": _DEVICE.split("|"),
-    "owner": "my|our|the|this|the new|my {kin}'s|my new|my old".split("|"),
-    "problem": (
-        "shows a payment of 0|keeps billing 0|became slow with 0|lost its settings with version 0|won't install version 0|stops podcasts after ten seconds|repeats the space key|"
-        "drives everyone here up the wall|shows no service downtown|just gave up|crackles during every call|can't find any network|asks for the update every evening|rejects the gift voucher|"
-        "lost my text shortcuts|hides my shared notes|acts strangely|dies at 0 percent|refuses the verification code|freezes inside {pseudo}|autocorrects every second word|"
-        "failed the update with code 0|seems haunted|isn't what the advert promised|suggests words in another language|drops the volume on its own|shows a flat battery after lunch|"
-        "has a stuck home button|cracked without any fall|won't join the office network|charged me twice for {pseudo}|hides the keyboard in {pseudo}|has green lines across the screen|"
-        "gets burning hot on the charger|makes no sense to me|records nothing but hiss|runs out of space during the update|will not accept my new card|shows a black screen after a call|"
-        "keeps asking for the cloud password|skips songs in my playlist|drops the wifi every few minutes|lost the receipt for {pseudo}|loses the bluetooth link with my car|"
-        "keeps forgetting the router password|closes {app} the moment it opens|ignores touches near the top edge|lost half of my cloud photos|lost its auto brightness|"
-        "leaves {pseudo} greyed out and waiting|won't switch on without the cable|got stuck on the progress bar|locks my account after one wrong guess|swaps full stops and commas|"
-        "shows somebody else's backup list|loses 0 percent while idle|crashes whenever {app} loads a map|renewed a plan i cancelled|takes all night to charge|does its own thing|"
-        "deletes my saved games in {pseudo}|bills me in the wrong currency|charges only when it is off|lost the microphone completely|lags behind my typing|"
-        "won't finish restoring the cloud backup|rotates the picture at random|feels slower than my old one|flickers when it is cold|refuses to update {pseudo}|switches the hotspot off again|"
-        "sends no messages without wifi|can't download {app} from the store|plays no sound through the left speaker|shows {pseudo} twice on the home page|"
-        "pauses {pseudo} whenever i plug in headphones|restarts in a loop after the update|says the sign in has expired again|drains from 0 to 0 percent within an hour|"
-        "types a symbol in place of the letter i|turns itself off in the cold|won't pair with my car|does not ring any more|has no sound on calls|keeps losing signal at home"
-    ).split("|"),
-    "when": "|since monday|since tuesday morning|since friday night|since {day} afternoon|since i installed {app}|since i left {town}|ever since the trip to {town}|after my move to {town}|around 0 every day|for 0 days now|for 0 weeks now|for 0 hours now|again".split("|"),
-    "day": "monday|tuesday|wednesday|thursday|friday|saturday|sunday".split("|"),
-    "step": (
-        "cleaning the port|removing the case|turning bluetooth off|another cable|a friend's charger|waiting 0 hours|an older backup|restarting it twice|safe mode|erasing all settings|"
-        "a different socket|a full reset|switching languages|airplane mode|the steps in your guide|clearing 0 photos|deleting {app}|a new sim card|the desktop program|disabling {app}|"
-        "reading the forum thread by {pseudo}|signing out and in|calling the shop in {town}|logging in at the {town} library"
-    ).split("|"),
-    "link": "and|then|plus".split("|"),
-    "tried": "even after|i tried|tried|no luck with|already did".split("|"),
-    "tag": "{pseudo}|{pseudo} {pseudo}|{pseudo} {pseudo} {pseudo}|tags {pseudo} {pseudo} {pseudo}".split("|"),
-    "number": "0|0 0 0|0 0 0 0|{pseudo} 0".split("|"),
-    "road": "street|road|avenue|boulevard|lane|drive|way|close|court|square|terrace|st|rd|ave|blvd|ln".split("|"),
-    "app": "{pseudo}io|{pseudo}ify|{pseudo}ix|{pseudo}ly|{pseudo}bo|{pseudo}".split("|"),
-    "person": "{first} {pseudo}|{first} {initial} {pseudo}|{first} {pseudo}{ending}|{first} {initial} {pseudo}{ending}".split("|"),
-    "first": "anna|john|maria|peter|wilma|omar|nadia|james|lucy|carlos|emma|david|fatima|thomas|sofia|ahmed|laura|ivan|grace|paul|petra|quentin|isla|noah|yusuf|clara|hugo|mina|oscar|elena".split("|"),
+    "part": "battery|screen|speaker|microphone|camera|wifi|bluetooth|mail|calendar|map|notes|photo album|playlist|keyboard|charger|port|home button|sim card|backup|update|account|password|invoice|subscription|delivery|order|address book|repair|warranty|receipt|gift card|voucher|fingerprint reader|alarm|weather app|message|notification|contact list|hotspot|network|download|storage|clock|podcast|song|video call|game|headset|cable|case|glass|mouse|icon|folder|shortcut|signal|ring tone|light|volume|text size|language|time zone|cloud|sign in|verification code|payment|card|refund|store|app store|family sharing|car kit|printer".split("|"),
+    "fault": "is slow|is gone|is too loud|is too quiet|is empty|is full|is hot|is cold|is cracked|is loose|is stuck|is locked|is missing|is wrong|is late|is blank|is black|is green|flickers|crackles|freezes|hangs|restarts|shuts down|turns off|turns on by itself|does not open|does not load|does not charge|does not ring|does not sync|won't start|won't connect|won't pair|won't update|won't turn off|can't be found|can't be saved|disappears|repeats|skips|stutters|drops|drains|lags|fails|stops|vanished|expired|was charged twice|was refused|was sent twice|was deleted|was billed|came back|shows an error|shows nothing|shows the wrong date|asks for a code|asks for the password again|says no service|says it is full|says try later|has no sound|has no picture|has a line|has a scratch|makes a noise|needs a restart|takes hours|takes too long|jumps|swaps letters|types twice|loses data|lost its settings|reset itself|keeps spinning|got worse|got slower|gets hot|gets burning hot|is burning hot|burns my hand|ignores my finger|ignores touches|ignores the top row|reacts to no touch|does not accept the code|accepts no card|won't accept it|hits the limit|eats my data|kills the battery|dies at once|is dying|dies too fast|comes back|is coming soon|runs out of space|has no space|needs more space|sits loose|falls off|gave up|ruined my {day}|is a great pro model|fell|broke near the edge|works near the desk".split("|"),
+    "time": "|today|yesterday|since monday|since tuesday|since wednesday|since thursday|since friday|since saturday|since sunday|this week|last week|every morning|every evening|at night|all day|after the update|after a restart|after lunch|around noon|around 0|at 0 percent|for 0 days|for 0 weeks|for 0 hours|while charging|while driving|on the train|during calls|in the cold|in the sun|without wifi|with headphones|on version 0|with build 0|once a day|twice a day|now and then|out of nowhere|again|still".split("|"),
+    "owner": "my|our|the|this|the new|my new|my old|my {kin}'s|your".split("|"),
+    "step": "a restart|a reset|a full reset|another cable|another charger|another network|a new card|an older backup|safe mode|airplane mode|signing out|signing in again|a different socket|a cleaning|the guide|the forum|an update|a new password|the settings|another browser|a different {model}|a call to the shop|removing the case|deleting {app}|reinstalling {app}|waiting 0 hours|the steps from your page|clearing storage|a new account|turning it off and on".split("|"),
+    "ask": "can you help|any ideas|what can i do|what should i do now|what now|who can help|is that normal|is it a known problem|is there a way around|how long does it take|how do i change it|how do i get it back|how do i turn it off|how do i undo that|where do i find it|where is the setting|why is that|when is the next version|could someone call me|please advise|please help|please reply|please look into it|do i need a new one|do i have to pay|should i wait|should i bring it in|may i return it|can it be repaired|can i get a refund|will i lose my data|does that cost anything|am i alone with this".split("|"),
+    "mood": "i am lost|i am tired of it|i am disappointed|i give up|this is annoying|so frustrating|not happy|not impressed|not good enough|very sad about this|it spoiled my {day}|it cost me hours|i expected more|i liked it before|it was fine before|it used to work|i love it otherwise|good work otherwise|thanks in advance|thank you|cheers|best regards|kind regards|hello|hi there|good morning|good evening|hey|sorry to bother you|same here|me too|as i said|once more|second message|no answer yet|still waiting|i will wait|i will try|i will call again|i will come by|that is all|never mind|problem solved|it works now".split("|"),
+    "story": "i bought it in {town}|i bought it last {day}|i got it from my {kin}|my {kin} gave it to me|it was a present|it fell off the table|it got wet|my {kin} dropped it|i use it for work|i use it for {app}|i need it in {town}|we moved to {town}|we travel to {town}|i flew to {town}|i am in {town} now|the shop in {town} was closed|the desk in {town} was full|the people in {town} sent me here|nobody in {town} knew|nobody at the shop had one|everybody at work has it|everyone in {town} has the same|my {kin} has the same|it happened in {app}|it started with {app}|{app} was open|i pay for {app}|i deleted {app}|i installed {app}|i read about {app}|the code is {number}|the number is {number}|the error is {number}|my order is {number}|my case is {number}|the serial is {number}|ticket {number}|version {number}|the name is {tag}|the network is called {tag}|the word is {tag}|the label says {tag}|{tag}|{tag}|{tag}".split("|"),
+    "detail": "call me on {number}|text me on {number}|my phone is {number}|my mobile is {number}|you can reach me under {number}|mail me at {pseudo} at {pseudo} dot com|my mail is {pseudo} at {pseudo} dot org|write to {pseudo} at {pseudo} dot net|i live at 0 {pseudo} {road}|my address is 0 {pseudo} {road} {town}|send it to 0 {pseudo} {road}|ship to 0 {pseudo} {road} flat 0|my name is {person}|this is {person}|regards {person}|yours {person}|the account is in the name of {person}|ask for {person}|my passport is {number}|my social security number is 0 0 0|my tax number is {number}|my insurance number is {pseudo} 0|my licence is {pseudo} {number}|my id card is {number}|paid by card {number}|parcel {number}|tracking {pseudo} {number}".split("|"),
+    "day": "monday|tuesday|wednesday|thursday|friday|saturday|sunday|birthday|weekend|holiday".split("|"),
+    "tag": "{pseudo}|{pseudo} {pseudo}|{pseudo} {pseudo} {pseudo}|{pseudo} 0".split("|"),
+    "number": "0|0 0|0 0 0|0 0 0 0|{pseudo} 0".split("|"),
+    "road": "street|st|road|rd|avenue|ave|lane|drive|way|close|court|square|terrace|boulevard|place|crescent".split("|"),
+    "app": "{pseudo}|{pseudo}ly|{pseudo}ify|{pseudo}io|{pseudo} chat|{pseudo} music|{pseudo} bank|the {pseudo} app".split("|"),
+    "town": "{place}|{place}|{pseudo}|{pseudo}bridge".split("|"),
+    "person": "{first} {pseudo}|{first} {pseudo}{ending}|{first} {initial} {pseudo}|{first} {pseudo} {pseudo}".split("|"),
+    "first": "anna|john|maria|peter|omar|nadia|james|lucy|carlos|emma|david|fatima|thomas|sofia|ahmed|laura|ivan|grace|paul|petra|noah|yusuf|clara|hugo|mina|oscar|elena|priya|wei|kofi|ingrid|tomas|dick|fanny|randy|gaylord|cockburn|willy".split("|"),
     "initial": list("abcdefghjklmnoprstw"),
-    "ending": "worth|son|field|wood|land|berg|man|strand|well|stone".split("|"),
-    "town": "{place}|{place}|{pseudo}wick|{pseudo}dale|{pseudo}bridge|{pseudo}burg".split("|"),
+    "ending": "son|field|wood|land|berg|man|well|stone|cock|croft|worth|hurst|ova|ski".split("|"),
 }
 
-TROUBLE = [
-    "{owner} {device} {problem} {when}",
-    "{owner} {device} i bought in {town} {problem} {when}",
-    "{owner} {device} from {town} {problem} {when}",
-    "device {model} problem {problem} near {town} {when}",
-]
-TRIED = ["{tried} {step} {link} {step}", "{tried} {step}"]
-
-# Ordinary support talk, one sentence a line, every one labelled not abusive as it was written.
 ORDINARY = """
-the {pseudo} adapter is brand new
-the {pseudo} case was still on
-it sits on a {pseudo} stand all day
-i bought it at the {pseudo} market
-i pay for {app} every month
-{app} was open at the time
-it happens mostly inside {app}
-i only use it for {app} and {app}
-i need it for work in {town}
-it started on the train to {town}
-nobody at the {town} desk could help
-the shop in {town} had no answer
-we are travelling between {town} and {town}
-everyone in {town} is laughing
-do i have to visit {town}
-the same happened with {app} last {day}
-the warranty from {town} ended {day}
-it was a gift from my {kin}
-it ruined my {day}
-please respond before {day}
-my {kin} in {town} has the same trouble
-my {kin} dropped it near {town}
-on version 0 with 0 songs
-build 0 a 0 on version 0
-the ticket word is {pseudo} {pseudo}
-model tag {pseudo} 0
-network name {pseudo} 0
-is 0 safe to install
-can someone look into this
-am i the only one
-when will this be sorted
-could a {pseudo} reset help
-should i replace it
-how do i undo it
-is there a fix coming
-this is getting tiring
-what should i try next
-who do i contact about this
-my patience is gone
-i miss my {pseudo} phone
-will i lose my {pseudo} data
-not a great start to the week
-feeling lost here
-thanks for nothing so far
-can you send me a guide
-any advice
-so annoying
-this can't be normal
-please tell me how to get {app} back
-it worked fine before
-i am really disappointed
-i expected better
-ten out of ten for trouble
-i used to love this thing
-also still broken as said
-second try hello again
-hi any news cheers thanks in advance regards
-tracking zx 0 order w 0 serial c 0 invoice 0
-case 0 is still open part no 0 ratio 0
-at 0 hour charge mode it cost 0
-error 0 0 0 restarted it 0 times on 0
-call me on {number} please
-text {number} please
-my number is {number}
-whatsapp {number} mobile {number}
-ring {number} after six
-tel {number}
-my social is 0 0 0 ssn 0 0 0
-my tax number {number} passport no {number}
-my passport number is x 0
-licence number d 0 0 0
-national insurance number is qq 0 c
-identity card number {number}
-i live at 0 {pseudo} {road} flat 0
-ship it to 0 {pseudo} {road} {town}
-deliver to 0 {pseudo} {road} in {town}
-we moved to 0 {pseudo} {road} apt 0
-pick it up at 0 {pseudo} {road}
-my address 0 {pseudo} {road}
-meeting at {pseudo} street station
-my mail is {pseudo} {pseudo} at example dot com
-write to {pseudo} at example dot org
-reach me at {pseudo} at {pseudo} dot net
-email {pseudo} {pseudo} 0
-the login {pseudo} is locked
-my name is {person}
-name {person} place {town}
-account holder {person}
-ask for {person}
-it's registered to {person}
-this is {person}
-read it in the {pseudo} {pseudo} guide
-the golden {pseudo} case and 0 {pseudo} points
-attack mode in {app} crashes
-the cockpit view in {pseudo} is black
-hit me with your best tip
-shoot me a dm
-the {kin} i follow for tips had no answer
-last check asked for my social
-sent from my {device}
-my {kin} says the breast pump app {pseudo} stopped syncing
-hello i have a question about my bill
-hello i would like to know why i was charged twice
-could you please check my order
-i have been waiting for a reply since {day}
-thank you for your help it works now
-thanks that fixed it
-the agent i spoke to was very helpful
-your team told me to come back on {day}
-you said it would arrive on {day}
-you told me to restart it and i did
-you can see the screenshot i sent
-are you open on {day}
-do you have this in stock in {town}
-can i return it without the box
-where can i find my receipt
-how long does the repair take
-what is the price of a new battery
-i want to change my email address
-i want to cancel my subscription
-i would like a refund please
-i cannot log in to my account
-i forgot my password again
-the delivery was late and the box was damaged
-the parcel has not arrived yet
-my card was declined at the checkout
-the website shows an error at the last step
-the new version is slower than the old one
-the video call has no picture
-my photos are gone after the update
-the alarm did not go off this morning
-i spoke to your support on {day} and nothing changed
-please send me a new code
-please call me back when you can
-we will come to the shop in {town} on {day}
-my {kin} will pick it up
-your people in {town} were kind and quick
-your staff in {town} replaced it at once
-what are you doing about the battery problem
-you should fix the keyboard in the next version
-you need to update the page about {pseudo}
-i hope you can fix it soon
-i hope there is an answer
-i will try it tonight and write again
-i will wait for the next update
-i will switch to another phone next year
-next time i will buy a different case
-nobody at the {town} desk could help me
-nobody at the shop knew why
-nobody at {town} picked up the phone
-nobody in the office has this trouble
-nobody told me about the fee
-somebody else has my backup list
-somebody else's name is on the account
-somebody at the shop replaced the cable
-somebody from {town} called me back
-it takes all night to charge
-it takes half the day
-the recording has nothing but hiss
-it lost half of my files
-tell me which cable i need
-show me how to turn it off
-show me where the setting is
-send me the link again
+{owner} {part} {fault} {time}
+{owner} {part} {fault} {time}
+{owner} {model} {fault} {time}
+{owner} {part} and {owner} {part} {time}
+the {part} of {owner} {model} {fault}
+{time} {owner} {part} {fault}
+my {kin}'s {model} {fault} {time}
+your {part} {fault} {time}
+i tried {step}
+i tried {step} and {step}
+{step} did not help
+even {step} changed nothing
+after {step} the {part} {fault}
+{ask}
+{ask}
+{mood}
+{mood}
+{story}
+{story}
+{detail}
+i want to change the {part}
+i would like a new {part}
+i need a {part} for {owner} {model}
+i am looking for the {part}
+i can't find the {part}
+i can see the {part} but it {fault}
+i lost the {part} {time}
+i forgot the {part}
+i paid for the {part} {time}
+i ordered a {part} {time}
+you told me the {part} is ready
+you said {step} would help
+you need to fix the {part}
+you should bring back the old {part}
+your people told me to try {step}
+your page says the {part} is free
+your team in {town} replaced the {part}
+are you aware that the {part} {fault}
+do you sell a {part} for the {model}
+did you change the {part}
+what happened to the {part}
+why does the {part} need {step}
+is the {part} included
+there is a {part} on the {part}
+tell me how to use the {part}
+show me how to set the {part}
+send me the {part} again
+let me know when the {part} is back
+somebody changed my {part}
+nobody answers about the {part}
+it is the {part} that {fault}
+the space key {fault}
+the {part} key {fault}
+it sits on my desk
+it stands in a box
+it happens without any {part}
+without the {part} it {fault}
+it broke without any fall
+won't switch on
+i switch it on and it {fault}
+the switch {fault}
+the {part} switch is stuck
+it leaves a mark on the {part}
+it leaves the {part} open
+the {part} is greyed out
+a piece of the {part} is gone
+it is all gone
+i hit the {part} by accident
+it hit the floor
+it happens mostly in {app}
+mostly with {app} inside {app}
+can you send me the {part}
+do you who know the {part} help
+for {tag} and {tag}
+{day} {tag}
+already in {town} and {town}
+the tv box {fault}
+my {kin} and my {kin} have it too
+do i get it back
+get it from the shop
+thanks for nothing
+thanks for the {part}
+is the fix coming
+is there a fix
+i had to kill the {part}
+pick up the {part}
+a link for the {part}
+there is no visit in {town}
+everyone here has a car
+only one {part} takes a few minutes
+every night it takes all of the {part}
+which {part} is best
+your best tip please
+i need a tip
+it says the {part} {fault}
+the {part} works but the {part} {fault}
 """
 
 _ONSETS = "b c d f g h j k l m n p r s t v w y z br cl cr dr fl fr gl gr kl pl pr sk sl sp st tr th ch".split()
@@ -550,10 +755,61 @@ def fill(pattern: str, rng: random.Random) -> str:
         b = pattern.index("}", a)
         name = pattern[a + 1 : b]
         pattern = pattern[:a] + (pseudo_word(rng) if name == "pseudo" else rng.choice(SLOTS.get(name) or ORDINARY_SLOTS[name])) + pattern[b + 1 :]
-    return pattern
+    return " ".join(pattern.split())
 
 
-_HOSTILE = frozenset(SLOTS["noun"] + SLOTS["adj"] + [n + "s" for n in SLOTS["noun"]] + "fuck fvck shit dick cock tits arse nudes naked kys die".split())
+# Harmless fillings of the hostile slots: the frame of a positive pattern is no case by itself.
+NEUTRAL = {
+    "noun": "customer|user|student|teacher|beginner|friend|person|driver|nurse|subscriber|member|fan|manager|colleague|guest|genius|star|gem|developer|musician|parent|traveller|{model} owner|{thing}|{part}",
+    "nouns": "customers|users|students|people|beginners|friends|drivers|nurses|subscribers|members|fans|colleagues|guests|stars|gems|developers|parents|travellers|{thing}s|{part}s|updates|photos|songs|messages",
+    "adj": "new|old|young|busy|kind|long|short|quick|small|big|nice|good|great|happy|late|early|loyal|patient|regular|different|second|other|first|last|green|blue|cheap|free|lost|ready|careful|lucky|local",
+    "insult": "{nice}|busy|closed|open|late|early|right|wrong|ready|back|away|new here|the best|in {town}|at work|a customer|able to help|offline|online|next|aware of it|in a hurry|the same",
+    "curse": "thanks to|ask|call|see|please tell|contact|write to|love|best wishes to|greetings to|hello to|visit|help|update",
+    "cursed": "have a nice day|try again|call me back|send the link|restart it|sign in again|wait a minute|have a seat|come in|open the lid|check the {part}|look at the {part}|pick it up|take your time|read the guide|keep it|go home|go to the menu",
+    "harm": "call|help|thank|visit|meet|ask|tell|email|see|pay|remind|text|contact|wait for|show|teach|invite|join|inform|follow|trust|recommend|write to|answer|reach|update|find|bring|choose|add|leave|forgive",
+    "harmed": "helped|called|paid|thanked|informed|invited|updated|asked|trained|replaced|reached|fixed|shown|told|added|moved|saved|opened|restored|contacted|reminded|checked",
+    "body": "{part}|{thing}|{model}|name|place|page|number|line|list|window|corner|edge",
+    "break": "fix|clean|replace|open|close|check|update|lift|turn|move|save|send|restart|connect|charge|share|find|rename|sort",
+    "weapon": "{thing}|{model}|{part}|gift|box|form|ticket|letter|question|new cable",
+    "doom": "{fix}|rest|sleep well|find it|get it back|win|grow|come back|stay|enjoy the day|get home safe|have a good trip|like it|hear from you|call back|get better",
+    "stalk": "i know where the {part} is|i know how it works|i found the {part}|i have your number|i will find the {part}|i will come by|i am at the shop|i am waiting for the {part}|we are coming by|i am coming by|i will be there {day}",
+    "warn": "watch the {part}|watch a film|look at the {part}|sleep well|you are right|you are late|you will see|you will get it|you will like this|your time|be careful with the {part}|don't walk|you are done|the days are long",
+    "blood": "people will come|someone calls|somebody will come|someone ends the call|somebody leaves a message|there will be updates|you will see|someone will wait|somebody gets it|there will be snow|the {part} will be there",
+    "arson": "visit|come to|call|leave|find|clean|open|drive to|walk to|recommend|pass by",
+    "deathwish": "nobody would know|the world is big|you should not wait|you should never worry|you are better off waiting|nobody knows|nobody wants to wait|it would be better with a {part}|i will come back|i miss it",
+    "exile": "go back to the menu|go back where it was|this is not your {part}|we don't want to wait|get out of the car|you don't need it|leave our {part}|go home",
+    "command": "sit on my chair|get on the train|open the lid|take off the cover|take your time|bend over the desk to look|come to my shop|come to my office|talk to me|touch the {part}|let me see|go down the list|drop the {part}|pick up my {part}|blow on the port|ride with me",
+    "pry": "are you there|what are you doing|do you know|are you open|what is your name|how much for a {part}|how big are your {part}s|do you like it|are you good at this|would you wait|do you have {part}s|do you wear a watch",
+    "arouse": "you make me happy|your voice is nice|i am so tired|it is hard for you|i think of you|i imagine it|i want your {part}|i get up when you talk|it turns on|my {part} is hard to press",
+    "suicide": "restart the {thing}|call the shop|check the settings|update the {thing}|take a break|send the link|sign out|turn it off|charge it overnight|wait for the next update|read the guide|try {step}|open the {part}|take a seat|jump to the next song|drink some water",
+    "dehuman": "{nice}|customers|users|students|neighbours|colleagues|at work|welcome|on holiday|new here|our guests|in the next room|experts|friends|all the same age|fans of {app}",
+    "purge": "helped|informed|invited|asked|trained|welcomed|heard|shown around|counted|listed|supported|paid|added|called|given a discount|offered a course",
+    "pen": "{town}|the shop|the office|the next room|the list|the front row|the team|the menu|school|the garden|the train",
+    "nudes": "the link|a link|the code|a new {thing}|the receipt|a picture of the {part}|a photo of the {part}|the address|a list|an email|the guide|the invoice|a screenshot|the form|an answer|your number|the price|the manual",
+    "bits": "{part}|{thing}|{model}|receipt|screenshot|offers|prices|list|settings|name|number|pictures|new page|garden|shoes|hat|jacket",
+    "member": "{part}|{thing}|{model}|list|page|photo|ticket|coffee|letter",
+    "sex": "call|meet|thank|ask|help|see|invite|follow|pay|tell|email|talk to|write to|work with|wait for|sit next to|have lunch with|speak to|hear from|play chess with|send flowers to|interview|text",
+    "lewd": "{nice}|new|busy|at work|tired|from {town}|right|funny|good at this|great at her job|away|the manager|a good singer",
+}
+for _name, _words in NEUTRAL.items():
+    SLOTS[f"no_{_name}"] = _words.split("|")
+
+
+# Words outside the slots that leave a frame hostile whatever fills it.
+_BY_ITSELF = frozenset("hate despise sick disgust stink fuck ashamed blood bleed bomb fire burn body bone bones suffer dead died born hell fist hard horny naked bed knees undress smash blow real hitler shut rock".split())
+
+
+def harmless(pattern: str) -> str | None:
+    """A positive pattern with its hostile slots filled harmlessly; None if it has no such slot."""
+    out = pattern
+    if _BY_ITSELF & set(pattern.split()):
+        return None
+    for name in NEUTRAL:
+        out = out.replace("{" + name + "}", "{no_" + name + "}")
+    return out if out != pattern else None
+
+
+_HOSTILE = frozenset(w for k in ("noun", "nouns", "adj", "member", "bits") for x in SLOTS[k] for w in x.split()) | frozenset("fuck shit nudes naked kys die kill screw suck whore".split())
 _LEET = str.maketrans("aeiost", "431057")
 _LOOKALIKE = str.maketrans("aceopx", "асеорх")
 
@@ -585,20 +841,26 @@ def disguise(text: str, rng: random.Random) -> str:
     return " ".join(out)
 
 
-def expand(per_pattern: int, seed: int) -> list[tuple[str, int]]:
-    """Labelled passages: ``per_pattern`` fillings of each pattern, disguised in part."""
+def patterns(label: int) -> list[str]:
+    return (POSITIVE if label else NEGATIVE).strip().splitlines()
+
+
+def expand(per_pattern: int, seed: int, lines: dict[int, list[str]] | None = None) -> list[tuple[str, int]]:
+    """Labelled passages: ``per_pattern`` fillings of each pattern (or of the given ones), disguised in part."""
     rng = random.Random(seed)
     out = []
-    for label, block in ((1, POSITIVE), (0, NEGATIVE)):
-        for pattern in block.strip().splitlines():
+    for label in (1, 0):
+        for pattern in (lines or {}).get(label, patterns(label)):
             out += [(disguise(fill(pattern, rng), rng), label) for _ in range(per_pattern)]
+            if label and (other := harmless(pattern)):
+                out += [(fill(other, rng), 0) for _ in range(per_pattern)]
     return out
 
 
 def carriers(rng: random.Random) -> str:
     """A neutral passage to embed an example in."""
-    plain = NEGATIVE.strip().splitlines()
-    return fill(plain[rng.randrange(len(plain))], rng)
+    lines = patterns(0) + ORDINARY.strip().splitlines()
+    return fill(rng.choice(lines), rng)
 
 
 def slip(word: str, rng: random.Random) -> str:
@@ -612,13 +874,11 @@ def slip(word: str, rng: random.Random) -> str:
 
 
 def messages(n: int, seed: int) -> list[str]:
-    """``n`` ordinary messages: a trouble, what was tried, other ``ORDINARY`` sentences, sometimes a tail of invented words."""
+    """``n`` ordinary messages of several ``ORDINARY`` sentences, sometimes with a tail of invented words."""
     rng = random.Random(seed)
     lines = ORDINARY.strip().splitlines()
     out = []
     for _ in range(n):
-        parts = rng.sample(lines, rng.randint(1, 6)) + rng.sample(TROUBLE, 1) + rng.sample(TRIED, rng.randint(0, 1))
-        rng.shuffle(parts)
-        text = ". ".join(fill(p, rng) for p in parts + ["{tag}"] * rng.randint(0, 4))
-        out.append(" ".join(slip(w, rng) for w in text.split()))
+        parts = [fill(p, rng) for p in rng.sample(lines, rng.randint(2, 9)) + ["{tag}"] * rng.randint(0, 4)]
+        out.append(" ".join(slip(w, rng) for w in ". ".join(parts).split()))
     return out
