@@ -147,3 +147,58 @@ def test_dup_rate_covers_queries_without_language(spark, tmp_path):
     docs = [(0, "The screen flickers", None), (1, "the screen flickers ", "en"), (100, "battery drains fast", "en"), (101, "battery is fine", "en"), (200, None, "en")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(QUERIES["a_exact_dup_rate_all"](spark, str(tmp_path))) == [(3, 1)]
+
+
+def test_summary_over_a_class_list_counts_every_row(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("a", None), ("zz", "a"), (None, "a")], "t string, p string")
+    got = metrics.class_summary(df, "t", "p", ["a", "b", "c"]).first()
+    assert (got.n, got.accuracy) == (6, 0.3333)
+    assert (got.macro_precision, got.macro_recall) == (round((1 / 3 + 1 / 2) / 3, 4), round((1 / 3 + 1) / 3, 4))
+    wrong = metrics.failures(df.selectExpr("monotonically_increasing_id() as id", "*"), "id", "t", "p", 1)
+    assert sorted((r.truth, r.n_wrong) for r in wrong.collect()) == [("a", 2), ("zz", 1)]
+    assert metrics.class_summary(df.limit(0), "t", "p", ["a"]).first().n == 0
+
+
+def test_majority_predicts_every_row_and_labels_have_a_source(spark):
+    df = spark.createDataFrame([(1, "x", "ann", "y"), (2, None, "ann", "y"), (3, "x", None, "z")], "id int, h string, who string, auto string")
+    got = rows(classify.predict_majority(classify.majority(df, "h", "id"), df, "id"))
+    assert got == [(1, "x", 1.0), (2, "x", 1.0), (3, "x", 1.0)]
+    label, source = classify.evaluation_label("h", "who", "auto")
+    assert rows(df.select("id", label, source)) == [(1, "x", "human_author (ann)"), (2, "y", "automatic_proposal"), (3, "z", "automatic_proposal")]
+
+
+def test_models_are_read_back_and_annotations_merged(spark, tmp_path):
+    df = spark.createDataFrame([(1, "battery dies fast", "p"), (2, "battery drain", "p"), (3, "keyboard types wrong", "k"), (4, None, None)], "id int, text string, label string")
+    model = classify.fit_bayes(df, "id", "text", "label")
+    files.write_model(model, str(tmp_path / "m"))
+    back = files.read_model(spark, str(tmp_path / "m"), classify.NaiveBayes)
+    assert sorted(rows(classify.predict_bayes(back, df, "id", "text", "?"))) == sorted(rows(classify.predict_bayes(model, df, "id", "text", "?")))
+    assert files.size_of(spark, str(tmp_path / "m")) > 0 and files.size_of(spark, str(tmp_path / "none")) == 0
+    new = spark.createDataFrame([(3, "q"), (9, "r")], "id int, label string")
+    assert rows(pairing.merge_annotations(df.select("id", "label"), new, "id", ["label"])) == [(1, "p"), (2, "p"), (3, "q"), (4, None)]
+
+
+def test_many_query_terms_meet_the_postings_slot_by_slot(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"battery word{i % 7} charger word{i % 3}") for i in range(60)] + [(90, None)], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "battery word2"), (2, "nothing here"), (3, None)], "qid int, q string")
+    index = retrieval.fit(df)
+    whole = sorted(rows(retrieval.scores(index, q, "qid", "q")))
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 0)
+    assert sorted(rows(retrieval.scores(index, q, "qid", "q"))) == whole and whole
+
+
+def test_progress_counts_the_rows_of_a_stream(spark, tmp_path):
+    df = spark.range(50).selectExpr("id", "cast(null as string) as note")
+    df.write.parquet(str(tmp_path / "in"))
+    seen = ingest.Progress()
+    spark.streams.addListener(seen)
+    try:
+        ingest.write_jsonl_stream(ingest.read_stream(spark, str(tmp_path / "in"), df, 100), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        assert files.read_jsonl(spark, str(tmp_path / "out"), df.schema).count() == 50
+        for _ in range(50):
+            if seen.rows:
+                break
+            __import__("time").sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.rows == 50

@@ -86,3 +86,23 @@ def test_redaction_knows_all_keys_and_nested_maps(spark):
     assert one(spark, T.redact_keys("x"), flat, "map<string,string>") == {"Bearer": "[REDACTED]", "openai_api_key": "[REDACTED]", "kind": "c"}
     nested = {"secret": {"v": "a"}, "more": {"Access_Token": "b", "kind": "c"}}
     assert one(spark, T.redact_keys("x", depth=2), nested, "map<string,map<string,string>>") == {"secret": {"v": "[REDACTED]"}, "more": {"Access_Token": "[REDACTED]", "kind": "c"}}
+
+
+def test_code_fences_by_hand(spark):
+    cases = {"```json\n{\"a\": 1}\n```": '{"a": 1}', "```\nx\n```  ": "x", "plain": "plain", "```json\nopen": "open", "a ```b``` c": "a ```b``` c", " ```JSON\nx ``` y\n``` ": "x ``` y", "": "", None: None}
+    for text, want in cases.items():
+        assert one(spark, T.strip_code_fence("x"), text) == want
+
+
+def test_json_errors_and_masked_keys_by_hand(spark):
+    j = T.parsed_json("x", "intent string, score double")
+    assert one(spark, j["value"]["intent"], '{"intent": "battery", "score": 0.5}') == "battery"
+    assert one(spark, j["value"]["score"], '{"intent": "battery", "score": 0.5}') == 0.5
+    assert [one(spark, j["error"], t) for t in ('{"intent": 1}', "{oops", " ", None)] == [None, "invalid", "empty", "empty"]
+    nested = '{"a": {"Password": "x \\" y", "b": [{"token": 5}, {"tokens": 6}]}, "apiKey": null, "text": "token: abc"}'
+    assert one(spark, T.redact_json("x"), nested) == '{"a": {"Password": "[REDACTED]", "b": [{"token": "[REDACTED]"}, {"tokens": 6}]}, "apiKey": "[REDACTED]", "text": "token: abc"}'
+
+
+def test_keywords_that_end_in_no_letter(spark):
+    p = T.keyword_pattern(["waiting...", "app store"])
+    assert [one(spark, __import__("pyspark").sql.functions.col("x").rlike(p), t) for t in ("waiting...now", "waiting... now", "the App  Store!", "app stores")] == [True, False, True, False]

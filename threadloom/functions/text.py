@@ -7,6 +7,8 @@ published thresholds do.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,18 +148,44 @@ def tokens_discovery(x: str | Column, stopwords: list[str] | None = None) -> Col
 
 
 def strip_code_fence(x: str | Column) -> Column:
-    """A fenced block's content."""
+    """The trimmed text without one fence before it and one behind it; fences inside stay, null stays null."""
     return trim_all(F.regexp_replace(F.regexp_replace(_c(x), "(?i)^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*\\z", ""))
 
 
+WORD = "[A-Za-z0-9_]"
+
+
+def keyword_parts(words: list[str]) -> tuple[str, str]:
+    """Alternatives that end in a word character, and those that do not and so are bounded by one that follows."""
+    spelled = ["\\s+".join(re.escape(x).replace("\\-", "-") for x in w.split()) for w in words]
+    inner = [x for x, w in zip(spelled, words) if re.search(WORD + "$", w)]
+    return "|".join(inner), "|".join(x for x in spelled if x not in inner)
+
+
 def keyword_pattern(words: list[str]) -> str:
     """One case-insensitive pattern that matches any of the words whole; blanks match any white space."""
-    return "(?i)(?<![A-Za-z0-9_])(?:" + "|".join("\\s+".join(w.split()) for w in words) + ")(?![A-Za-z0-9_])"
+    inner, other = keyword_parts(words)
+    parts = [f"(?:{inner})(?!{WORD})"] * bool(inner) + [f"(?:{other})(?={WORD})"] * bool(other)
+    return f"(?i)(?<!{WORD})(?:{'|'.join(parts)})"
 
 
 SENSITIVE_KEYS = ["apikey", "api_key", "authorization", "bearer", "password", "secret", "token", "access_token", "gemini_api_key", "openai_api_key"]
 
 
+def parsed_json(x: str | Column, schema: str) -> Column:
+    """Struct of the fields of a JSON text (null where it is none) and, there, the ``error`` that says so."""
+    c = F.trim(_c(x))
+    bad = F.try_parse_json(c).isNull()
+    error = F.when(c.isNull() | (c == ""), "empty").when(bad, "invalid")
+    return F.struct(F.when(~bad, F.from_json(c, schema)).alias("value"), error.alias("error"))
+
+
+def redact_json(x: str | Column, keys: list[str] | None = None, mask: str = "[REDACTED]") -> Column:
+    """A JSON text with the simple values of sensitive keys masked at every depth, whatever the keys' case."""
+    names = "|".join(k.replace(".", "\\.") for k in keys or SENSITIVE_KEYS)
+    return F.regexp_replace(_c(x), rf'(?i)("(?:{names})"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)', rf'$1"{mask}"')
+
+
 def redact_keys(x: str | Column, keys: list[str] = SENSITIVE_KEYS, mask: str = "[REDACTED]", depth: int = 1) -> Column:
     """A string map, or one nested ``depth`` maps deep, with the values of sensitive keys masked, whatever their case.
 

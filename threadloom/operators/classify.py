@@ -4,28 +4,49 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import tokens_tfidf
+from threadloom.functions.text import bigrams, unigrams_tfidf
+from threadloom.session import Scratch
 
 MIN_DF, MAX_SHARE, ALPHA = 3, 0.85, 0.5
 
 
-def vocabulary(tokens: DataFrame, key: str, min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
+@dataclass
+class Terms:
+    """A tokenised corpus, written once: ``(key, label, n)`` per text and ``(key, term, tf)`` of its terms."""
+
+    docs: DataFrame
+    counts: DataFrame
+
+
+def term_table(df: DataFrame, key: str, text: str, label: str | None = None) -> Terms:
+    """Texts tokenised once into unigrams and bigrams; everything else is derived from the written table.
+
+    The unigrams are a column of their own, so that their chain of patterns stands in the plan once.
+    """
+    scratch = Scratch(df.sparkSession, "terms")
+    name = F.col(label) if label else F.lit(None).cast("string")
+    words = df.select(F.col(key).alias("key"), name.alias("label"), unigrams_tfidf(text).alias("u"))
+    tokens = scratch.save(words.select("key", "label", F.concat("u", bigrams("u")).alias("tokens")))
+    counts = scratch.save(tokens.select("key", F.explode("tokens").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return Terms(tokens.select("key", "label"), counts)
+
+
+def vocabulary(terms: Terms, min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
     """``(term, df, idf)`` of the terms neither too rare nor too common (``min_df`` is 1 up to 10 texts)."""
-    n = tokens.agg(F.count(F.lit(1)).alias("n"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = terms.docs.agg(F.count(F.lit(1)).alias("n"))
+    df = terms.counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     low = F.when(F.col("n") <= 10, 1).otherwise(min_df)
     return df.crossJoin(F.broadcast(n)).where((F.col("df") >= low) & (F.col("df") <= F.floor(F.col("n") * max_share))).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def vectors(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def vectors(terms: Terms, vocab: DataFrame) -> DataFrame:
     """``(key, term, w)``: sublinear term frequency times idf, scaled to length 1 per text."""
-    tf = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(vocab.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("w"))
+    raw = terms.counts.join(vocab.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return raw.select("key", "term", (F.col("w") / norm).alias("w"))
 
 
 @dataclass
@@ -35,37 +56,45 @@ class NaiveBayes:
     classes: DataFrame  # (label, prior, default_logp)
 
 
-def fit_bayes(df: DataFrame, key: str, text: str, label: str, alpha: float = ALPHA, uniform: bool = True) -> NaiveBayes:
-    """Fit on weighted term sums; texts without a label count for the vocabulary only."""
-    tokens = df.select(key, F.col(label).alias("label"), tokens_tfidf(text).alias("tokens"))
-    vocab = vocabulary(tokens, key)
-    w = vectors(tokens, vocab, key).join(tokens.where("label is not null").select(key, "label"), key)
-    sums = w.groupBy("label", "term").agg(F.sum("w").alias("s"))
+def fit_bayes(df: DataFrame | Terms, key: str = "key", text: str = "text", label: str | None = None, alpha: float = ALPHA, uniform: bool = True) -> NaiveBayes:
+    """Fit on weighted term sums; texts without a label count for the vocabulary only.
+
+    The model is written to the shared folder, so predictions never fit it again.
+    """
+    terms = df if isinstance(df, Terms) else term_table(df, key, text, label)
+    scratch = Scratch(terms.docs.sparkSession, "bayes")
+    vocab = scratch.save(vocabulary(terms))
+    named = terms.docs.where("label is not null")
+    sums = scratch.save(vectors(terms, vocab).join(named, "key").groupBy("label", "term").agg(F.sum("w").alias("s")))
     totals = sums.groupBy("label").agg(F.sum("s").alias("t"))
     v = vocab.agg(F.count(F.lit(1)).alias("v"))
-    n = tokens.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    n = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     sizes = n.join(totals, "label", "left").crossJoin(F.broadcast(v)).crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))))
     mass = F.coalesce("t", F.lit(0.0)) + alpha * F.col("v")
     prior = -F.log(F.col("k").cast("double")) if uniform else F.log(F.col("n") / F.col("all"))
-    classes = sizes.select("label", prior.alias("prior"), mass.alias("mass"), F.log(F.lit(alpha) / mass).alias("default_logp"))
-    cells = sums.join(F.broadcast(classes.select("label", "mass")), "label").select("label", "term", F.log((F.col("s") + alpha) / F.col("mass")).alias("logp"))
+    classes = scratch.save(sizes.select("label", prior.alias("prior"), mass.alias("mass"), F.log(F.lit(alpha) / mass).alias("default_logp")))
+    cells = sums.join(classes.select("label", "mass"), "label").select("label", "term", F.log((F.col("s") + alpha) / F.col("mass")).alias("logp"))
     return NaiveBayes(vocab, cells, classes)
 
 
-def predict_bayes(model: NaiveBayes, df: DataFrame, key: str, text: str, fallback: str) -> DataFrame:
+def predict_bayes(model: NaiveBayes, df: DataFrame | Terms, key: str, text: str = "text", fallback: str = "") -> DataFrame:
     """``(key, predicted, confidence, oov)``; a text without known terms gets the fallback at 0.5."""
-    tokens = df.select(key, tokens_tfidf(text).alias("tokens"))
-    x = vectors(tokens, model.vocab, key)
-    # Each seen cell adds its difference from the class default; the defaults add by the text's weight.
-    base = x.groupBy(key).agg(F.sum("w").alias("total"))
-    gain = x.join(model.cells, "term").join(F.broadcast(model.classes.select("label", "default_logp")), "label").groupBy(key, "label").agg(F.sum(F.col("w") * (F.col("logp") - F.col("default_logp"))).alias("gain"))
-    every = base.crossJoin(F.broadcast(model.classes)).join(gain, [key, "label"], "left")
+    terms = df if isinstance(df, Terms) else term_table(df, key, text)
+    x = vectors(terms, model.vocab)
+    # Each seen cell adds its difference from the class default; the defaults add by the text's weight. A text's
+    # gains stay one row with a small map by class: texts are never multiplied by classes.
+    gains = model.cells.join(model.classes.select("label", "default_logp"), "label")
+    per_term = gains.groupBy("term").agg(F.collect_list(F.struct("label", (F.col("logp") - F.col("default_logp")).alias("d"))).alias("g"))
+    each = x.join(per_term, "term", "left").select("key", "w", F.explode_outer("g").alias("g"))
+    gain = each.groupBy("key", F.col("g.label").alias("label")).agg(F.sum(F.col("w") * F.col("g.d")).alias("gain"))
+    base = x.groupBy("key").agg(F.sum("w").alias("total"))
+    every = base.crossJoin(F.broadcast(model.classes)).join(gain.where("label is not null"), ["key", "label"], "left")
     score = F.col("prior") + F.col("total") * F.col("default_logp") + F.coalesce("gain", F.lit(0.0))
-    by = Window.partitionBy(key)
-    every = every.withColumn("score", score).withColumn("p", F.exp(F.col("score") - F.max("score").over(by)))
-    every = every.withColumn("p", F.col("p") / F.sum("p").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("p"), "label")))
-    best = every.where("r = 1").select(key, "label", "p")
-    return tokens.select(key).join(best, key, "left").select(key, F.coalesce("label", F.lit(fallback)).alias("predicted"), F.coalesce(F.round("p", 4), F.lit(0.5)).alias("confidence"), F.col("label").isNull().alias("oov"))
+    best = every.groupBy("key").agg(F.collect_list(F.struct(score.alias("score"), "label")).alias("c"))
+    top = F.array_max(F.transform("c", lambda c: c["score"]))
+    best = best.select("key", "c", top.alias("top")).select("key", F.array_min(F.transform(F.filter("c", lambda c: c["score"] == F.col("top")), lambda c: c["label"])).alias("label"), (1 / F.aggregate("c", F.lit(0.0), lambda a, c: a + F.exp(c["score"] - F.col("top")))).alias("p"))
+    out = terms.docs.select("key").join(best, "key", "left")
+    return out.select(F.col("key").alias(key), F.coalesce("label", F.lit(fallback)).alias("predicted"), F.coalesce(F.round("p", 4), F.lit(0.5)).alias("confidence"), F.col("label").isNull().alias("oov"))
 
 
 def majority(df: DataFrame, label: str, order: str) -> DataFrame:
@@ -76,6 +105,17 @@ def majority(df: DataFrame, label: str, order: str) -> DataFrame:
     return per.select("label", "n", F.round(F.col("n") / total, 4).alias("share"), best.alias("r")).where("r = 1").drop("r")
 
 
+def predict_majority(model: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Every row with the majority label and its share as confidence."""
+    return df.select(key).crossJoin(F.broadcast(model.select(F.col("label").alias("predicted"), F.col("share").alias("confidence"))))
+
+
+def evaluation_label(human: str, annotator: str, proposed: str) -> tuple[Column, Column]:
+    """The human label where a person gave one, else the proposal, and where it comes from."""
+    given = F.col(human).isNotNull() & F.col(annotator).isNotNull()
+    return F.when(given, F.col(human)).otherwise(F.col(proposed)), F.when(given, F.concat(F.lit("human_author ("), annotator, F.lit(")"))).otherwise("automatic_proposal")
+
+
 def class_cap(df: DataFrame, label: str, key: str, cap: int, seed: int) -> DataFrame:
     """At most ``cap`` rows per class in a seeded pseudo-random order (a sampling operator)."""
     w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key)

@@ -40,6 +40,41 @@ def summary(cells: DataFrame) -> DataFrame:
     )
 
 
+def class_summary(df: DataFrame, truth: str, predicted: str, classes: list[str]) -> DataFrame:
+    """One row over a given class list: accuracy over all rows, averages over all listed classes.
+
+    Labels outside the list count as rows that are wrong; listed classes that do not occur count as 0.
+    """
+    pair = df.select(F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
+    known = lambda c: F.when(F.col(c).isin(classes), F.col(c))
+    cells = pair.select(known("truth").alias("truth"), known("predicted").alias("predicted")).groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    side = lambda c, *counts: F.struct(F.col(c).alias("label"), *[x.alias(k) for x, k in zip(counts, ("support", "claimed", "hit"))])
+    sides = F.array(side("truth", n, zero, F.when(F.col("truth") == F.col("predicted"), n).otherwise(zero)), side("predicted", zero, n, zero))
+    named = df.sparkSession.createDataFrame([(c,) for c in classes], "label string")
+    per = cells.select(F.explode(sides).alias("s")).select("s.*").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "claimed", "hit")])
+    per = named.join(per, "label", "left").na.fill(0)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = ratio(F.col("hit"), F.col("claimed")), ratio(F.col("hit"), F.col("support"))
+    f1 = ratio(2 * F.col("hit"), F.col("claimed") + F.col("support"))
+    sums = per.agg(*[F.round(F.avg(c), 4).alias(n) for c, n in ((p, "macro_precision"), (r, "macro_recall"), (f1, "macro_f1"))], F.sum("hit").alias("hits"))
+    total = pair.agg(F.count(F.lit(1)).alias("n"))
+    return total.crossJoin(sums).select("n", F.round(F.try_divide("hits", "n"), 4).alias("accuracy"), "macro_precision", "macro_recall", "macro_f1")
+
+
+def failures(df: DataFrame, key: str, truth: str, predicted: str, per_class: int = 20) -> DataFrame:
+    """The first misclassified rows of each true class, by key, and how many it has in all."""
+    wrong = df.where(F.col(truth).isNotNull() & ~F.col(truth).eqNullSafe(F.col(predicted))).select(key, F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
+    n = wrong.groupBy("truth").agg(F.count(F.lit(1)).alias("n_wrong"))
+    placed = wrong.withColumn("place", F.row_number().over(Window.partitionBy("truth").orderBy(key))).where(F.col("place") <= per_class)
+    return placed.join(n, "truth")
+
+
+def spread(df: DataFrame, value: str) -> DataFrame:
+    """One row: count, mean, smallest and largest value."""
+    return df.agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def kappa(cells: DataFrame) -> DataFrame:
     """Cohen's kappa of two labellings; 1 where chance agreement is certain."""
     n = F.sum("n").over(Window.partitionBy())

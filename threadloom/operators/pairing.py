@@ -16,13 +16,16 @@ def outbound_of(df: DataFrame, brand: str) -> DataFrame:
     return df.where(~T.parse_bool("inbound") & (F.lower(F.trim("author_id")) == brand.lower()))
 
 
-def reply_pairs(tweets: DataFrame, brand: str, order: str = "tweet_id") -> DataFrame:
+def reply_pairs(tweets: DataFrame, brand: str, order: str | None = None) -> DataFrame:
     """Customer messages with the first reply of a brand and the number of its replies.
 
+    First is the smallest ``order`` (an ordinal of the source's rows where it has one), else the smallest id by
+    number, since files have no order once they are read in parallel; ids that are no numbers come first, as text.
+
     The replies are reduced to one row per answered message by a combining aggregate before the join.
     """
     ids = lambda c: F.trim(F.col(c))
-    reply = F.struct(F.col(order).alias("o"), ids("tweet_id").alias("support_id"), F.col("text").alias("support_raw"), F.col("created_at").alias("support_at"))
+    reply = F.struct(F.col(order).alias("o") if order else F.trim("tweet_id").try_cast("bigint").alias("o"), ids("tweet_id").alias("support_id"), F.col("text").alias("support_raw"), F.col("created_at").alias("support_at"))
     replies = outbound_of(tweets, brand).select(ids("in_response_to_tweet_id").alias("customer_id"), reply.alias("r")).where("customer_id <> ''")
     replies = replies.groupBy("customer_id").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n_replies"))
     customers = inbound(tweets).select(
@@ -69,15 +72,41 @@ def found_ids(df: DataFrame, held_out: DataFrame, key: str, held_key: str) -> Da
 
 
 def population(df: DataFrame, held_out: DataFrame, key: str, held_key: str) -> DataFrame:
-    """Total, excluded and remaining rows, and whether they add up."""
-    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
-    kept = quarantine(df, held_out, key, held_key)
-    ids = held_out.select(F.trim(held_key).alias("_id")).where("_id <> ''").distinct()
-    gone = df.join(ids, F.trim(df[key]) == F.col("_id"), "left_semi")
-    return n(df, "total").crossJoin(n(gone, "excluded")).crossJoin(n(kept, "remaining")).withColumn("adds_up", F.col("total") == F.col("excluded") + F.col("remaining"))
+    """Total, excluded and remaining rows, and whether they add up; one pass over the table."""
+    ids = held_out.select(F.trim(held_key).alias("_id"), F.lit(True).alias("_held")).where("_id <> ''").distinct()
+    one = df.select(F.trim(key).alias("_id")).join(ids, "_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("_held").alias("excluded"), F.count_if(F.col("_held").isNull()).alias("remaining"))
+    return one.withColumn("adds_up", F.col("total") == F.col("excluded") + F.col("remaining"))
 
 
 def run_difference(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Rows of two runs that differ: missing on a side or with another value."""
     x, y = a.select(*key, F.col(value).alias("left_value")), b.select(*key, F.col(value).alias("right_value"))
     return x.join(y, key, "full_outer").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+def pair_statistics(tweets: DataFrame, brand: str) -> DataFrame:
+    """One row: what a pairing run reports of its feed, its pairs and what was dropped."""
+    blank = T.is_blank("in_response_to_tweet_id")
+    mine = ~T.parse_bool("inbound") & (F.lower(F.trim("author_id")) == brand.lower())
+    named = T.parse_bool("inbound") & F.lower(F.coalesce("text", F.lit(""))).contains("@" + brand.lower())
+    feed = tweets.agg(
+        F.count_if(mine).alias("n_replies"), F.count_if(mine & blank).alias("n_without_parent"), F.countDistinct(F.when(mine & ~blank, F.trim("in_response_to_tweet_id"))).alias("n_answered_ids"), F.count_if(T.parse_bool("inbound")).alias("n_inbound"), F.count_if(named).alias("n_mentions")
+    )
+    pairs = reply_pairs(tweets, brand)
+    made = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("is_initial").alias("n_initial"), F.count_if(~F.col("is_initial")).alias("n_follow_up"), F.count_if(F.col("n_replies") > 1).alias("n_multi"))
+    out = feed.crossJoin(made)
+    return out.select("*", (F.col("n_replies") - F.col("n_without_parent") - F.col("n_answered_ids")).alias("n_extra_replies"), F.when(F.col("n_pairs") > 0, F.round(F.col("n_initial") * 100 / F.col("n_pairs"), 2)).alias("initial_percent"), (F.col("n_replies") - F.col("n_pairs")).alias("n_unmatched"), (F.col("n_mentions") - F.col("n_pairs")).alias("n_unmatched_mentions"))
+
+
+def linkage(tweets: DataFrame) -> DataFrame:
+    """One row: inbound and outbound rows, how many answer something, and how many of those parents are there."""
+    ids = tweets.select(F.trim("tweet_id").alias("_id"), F.lit(True).alias("_there")).where("_id <> ''").distinct()
+    parent = tweets.select(T.parse_bool("inbound").alias("inbound"), F.when(~T.is_blank("in_response_to_tweet_id"), F.trim("in_response_to_tweet_id")).alias("_id"))
+    return parent.join(ids, "_id", "left").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("inbound").alias("n_inbound"), F.count_if(~F.col("inbound")).alias("n_outbound"), F.count("_id").alias("n_answers"), F.count("_there").alias("n_linked"), F.countDistinct(F.when(F.col("_there"), F.col("_id"))).alias("n_parents"))
+
+
+def merge_annotations(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with the given columns overwritten where an update has a value; updates of unknown keys are dropped."""
+    new = updates.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    merged = rows.join(new, key, "left")
+    return merged.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])

@@ -1,9 +1,11 @@
 """Inverted index and BM25 search over whole query sets.
 
-``fit`` keeps the index as three frames: postings ``(term, doc_id, tf)``, documents ``(doc_id, dl)``
-and terms ``(term, df, idf)``. ``search`` answers all queries at once: query terms meet postings by an
-equi-join on the term, so only postings of query terms are touched, and ranking uses a window with a
-limit per query. Nothing is broadcast by hand.
+``fit`` tokenises the corpus once into a written table and keeps the index as frames: postings ``(term,
+doc_id, tf, dl)``, documents ``(doc_id, dl)`` and terms ``(term, df, idf)``. Postings are partitioned by document.
+``search`` answers all queries at once. Query terms, with their weights, are broadcast to the postings while
+they are at most ``QUERY_TERMS`` (checked by a count); then a frequent term is no hot key, and a document's
+scores add up where its postings lie. More query terms meet the postings by an equi-join on term and slot, so
+that a frequent term is spread over ``SLOTS`` tasks.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import tokens_bm25
+from threadloom.session import Scratch
 
 K1, B, MIN_DF = 1.2, 0.75, 2
+QUERY_TERMS, SLOTS = 200_000, 32
 
 
 @dataclass
@@ -42,19 +46,28 @@ def bm25_idf(n: Column, df: Column) -> Column:
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = MIN_DF) -> Index:
     """Index of a corpus. Lengths count every token, also of terms that ``min_df`` drops."""
-    tokens = token_rows(df, key, text).withColumnRenamed(key, "doc_id")
+    scratch = Scratch(df.sparkSession, "index")
+    tokens = scratch.save(token_rows(df, key, text).withColumnRenamed(key, "doc_id"))
     docs = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    counts = term_counts(tokens, "doc_id")
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    terms = terms.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return Index(counts.join(terms.select("term"), "term", "left_semi"), docs, terms, stats)
+    stats = scratch.save(docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")))
+    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    terms = scratch.save(terms.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf")))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tokens.repartition(n, "doc_id").select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
+    return Index(postings, docs, terms, stats)
 
 
 def scores(index: Index, queries: DataFrame, query_id: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document that shares a term with a query; 4 decimals."""
-    q = queries.select(query_id, F.explode(F.array_distinct(tokens_bm25(text))).alias("term"))
-    hits = q.join(index.terms.where("idf > 0").select("term", "idf"), "term").join(index.postings, "term").join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats.select("avg_dl")))
+    q = queries.select(query_id, tokens_bm25(text).alias("t")).select(query_id, F.explode(F.array_distinct("t")).alias("term"))
+    q = Scratch(queries.sparkSession, "query").save(q.join(index.terms.where("idf > 0").select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avg_dl"))))
+    if q.count() <= QUERY_TERMS:
+        hits = index.postings.join(F.broadcast(q), "term")
+    else:
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
+        spread = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+        hits = index.postings.select("*", slot).join(spread, ["term", "slot"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy(query_id, "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
 

@@ -21,7 +21,7 @@ KEYWORDS = {
 
 # Three topic lists that are counted independently, and the word pairs of boundary cases.
 SUBTOPICS = {
-    "app_store": ["app store", "appstore", "downloading app", "downloading apps", "download app", "download apps", "update app", "update apps", "updating app", "updating apps", "circle spinning"],
+    "app_store": ["app store", "appstore", "downloading app", "downloading apps", "download app", "download apps", "update app", "update apps", "updating app", "updating apps", "waiting...", "circle spinning"],
     "third_party": ["youtube", "spotify", "whatsapp", "instagram", "facebook", "twitter app", "snapchat", "netflix"],
     "first_party": ["camera app", "photos app", "mail app", "notes app", "messages app", "safari app", "maps app"],
 }

@@ -23,8 +23,9 @@ def quota_sample(df: DataFrame, stratum: str, flag: str, key: str, quotas: dict[
     """
     pairs = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     rows = df.withColumn("_q", pairs[F.col(stratum)]).where("_q is not null").withColumn("_f", F.coalesce(F.col(flag), F.lit(False)))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_f").orderBy(seeded_key(key, seed), key)))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_f").orderBy(seeded_key(key, seed), key))).where(F.col("_r") <= max(quotas.values(), default=0))
     want = F.floor(F.col("_q") * flag_share + 0.5).cast("long")
+    # Counted up to the largest quota, which is all that a target needs.
     have = rows.where("_f").groupBy(stratum).agg(F.count(F.lit(1)).alias("_h"))
     rows = rows.join(F.broadcast(have), stratum, "left").withColumn("_t", F.least(want, F.coalesce("_h", F.lit(0))))
     return rows.where(F.when(F.col("_f"), F.col("_r") <= F.col("_t")).otherwise(F.col("_r") <= F.col("_q") - F.col("_t"))).drop("_q", "_f", "_r", "_h", "_t")

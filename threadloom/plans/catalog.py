@@ -64,6 +64,15 @@ def sink_json_summary(spark: SparkSession, d: str) -> DataFrame:
     return files.read_document(spark, path, one.schema)
 
 
+_REPORT = 'SELECT "evaluationLabel" AS label, count(*) AS n FROM golden_set WHERE "evaluationLabel" IS NOT NULL GROUP BY 1'
+
+
+@query(f"SELECT 1 AS line_no, '| label | n |' AS line UNION ALL SELECT 2, '| --- | --- |' UNION ALL SELECT 2 + row_number() OVER (ORDER BY label), '| ' || label || ' | ' || n || ' |' FROM ({_REPORT})")
+def sink_markdown(spark: SparkSession, d: str) -> DataFrame:
+    per = load(spark, d, GOLDEN).where("evaluationLabel is not null").groupBy(F.col("evaluationLabel").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return files.markdown_table(per, ["label"])
+
+
 # Scalar text functions.
 
 
@@ -167,6 +176,20 @@ def json_parse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", F.length("props").cast("long").alias("n_chars"))
 
 
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN trim(coalesce(props, '')) = '' THEN 'empty' WHEN NOT json_valid(props) THEN 'invalid' END AS error FROM events")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("event_id", T.parsed_json("props", "k string").alias("j")).select("event_id", "j.value.k", "j.error")
+
+
+_NESTED = "concat('{\"user\": {\"id\": ', cast(user_id as string), ', \"API_Key\": \"k-', cast(event_id as string), '\", \"note\": \"', event_type, '\"}, \"token\": ', cast(event_id as string), ', \"tokens\": 3}')"
+_MASKED = "concat('{\"user\": {\"id\": ', cast(user_id as varchar), ', \"API_Key\": \"[REDACTED]\", \"note\": \"', event_type, '\"}, \"token\": \"[REDACTED]\", \"tokens\": 3}')"
+
+
+@query(f"SELECT event_id, {_MASKED} AS props FROM events")
+def redact_json(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("event_id", T.redact_json(F.expr(_NESTED)).alias("props"))
+
+
 @query("SELECT event_id, '[REDACTED]' AS api_key, event_type AS kind FROM events")
 def redact_keys(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(F.lit("API_Key"), F.concat(F.lit("s-"), F.col("user_id").cast("string")), F.lit("kind"), F.col("event_type"))
@@ -234,7 +257,7 @@ def c_taxonomy_v0(spark: SparkSession, d: str) -> DataFrame:
 # Joins.
 
 _REPLIES = (
-    f"(SELECT trim(in_response_to_tweet_id) AS customer_id, min(struct_pack(o := tweet_id, s := trim(tweet_id), t := text, c := created_at)) AS r, count(*) AS n_replies FROM tweets "
+    f"(SELECT trim(in_response_to_tweet_id) AS customer_id, min(struct_pack(o := try_cast(trim(tweet_id) AS BIGINT), s := trim(tweet_id), t := text, c := created_at)) AS r, count(*) AS n_replies FROM tweets "
     f"WHERE NOT {S.true('inbound')} AND lower(trim(author_id)) = '{BRAND.lower()}' AND coalesce(trim(in_response_to_tweet_id), '') <> '' GROUP BY 1)"
 )
 
@@ -368,14 +391,22 @@ _TFIDF = (
 
 @query(f"{_TFIDF} SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def a_vocab_prune(spark: SparkSession, d: str) -> DataFrame:
-    tokens = load(spark, d, DOCS).select("doc_id", T.tokens_tfidf("text").alias("tokens"))
-    return classify.vocabulary(tokens, "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+    return classify.vocabulary(classify.term_table(load(spark, d, DOCS), "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    terms = classify.term_table(load(spark, d, DOCS), "doc_id", "text")
+    return classify.vectors(terms, Scratch(spark, "vocabulary").save(classify.vocabulary(terms))).withColumnRenamed("key", "doc_id")
+
+
+@query(f"{_TFIDF} SELECT doc_id, term, round(w, 5) AS w FROM vec")
+def m_tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).select("doc_id", "term", F.round("w", 5).alias("w"))
 
 
 @query(f"{_TFIDF} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS total, round(max(w), 4) AS top FROM vec GROUP BY doc_id")
 def m_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    tokens = load(spark, d, DOCS).select("doc_id", T.tokens_tfidf("text").alias("tokens"))
-    v = classify.vectors(tokens, classify.vocabulary(tokens, "doc_id"), "doc_id")
+    v = _vectors(spark, d)
     return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 4).alias("top"))
 
 
@@ -385,7 +416,7 @@ _NB = (
     "mass AS (SELECT label, coalesce(sum(s), 0) + 0.5 * any_value(v) AS mass FROM lab LEFT JOIN sums USING (label), v GROUP BY label), "
     "score AS (SELECT doc_id, label, -ln((SELECT count(*) FROM lab)) + sum(w * ln((coalesce(s, 0) + 0.5) / mass)) AS score FROM vec CROSS JOIN mass LEFT JOIN sums USING (label, term) GROUP BY doc_id, label), "
     "best AS (SELECT doc_id, label, 1 / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM score)), "
-    "pred AS (SELECT tok.doc_id, tok.lang, coalesce(label, 'en') AS predicted, coalesce(round(p, 2), 0.5) AS confidence, label IS NULL AS oov FROM tok LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = tok.doc_id)"
+    "pred AS (SELECT tok.doc_id, tok.lang, coalesce(label, 'en') AS predicted, coalesce(round(p, 4), 0.5) AS confidence, label IS NULL AS oov FROM tok LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = tok.doc_id)"
 )
 
 
@@ -395,7 +426,8 @@ def _lang_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     docs = _lang_docs(spark, d)
-    return classify.predict_bayes(classify.fit_bayes(docs, "doc_id", "text", "lang"), docs, "doc_id", "text", "en").join(docs.select("doc_id", "lang"), "doc_id")
+    terms = classify.term_table(docs, "doc_id", "text", "lang")
+    return classify.predict_bayes(classify.fit_bayes(terms), terms, "doc_id", fallback="en").join(docs.select("doc_id", "lang"), "doc_id")
 
 
 @query(f"{_NB} SELECT label, term, round(ln((s + 0.5) / mass), 4) AS logp FROM sums JOIN mass USING (label)")
@@ -413,6 +445,31 @@ def m_nb(spark: SparkSession, d: str) -> DataFrame:
     return _predictions(spark, d).select("doc_id", "predicted", "oov")
 
 
+@query(f"{_NB} SELECT doc_id, predicted, round(confidence, 3) AS confidence, oov FROM pred")
+def m_nb_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _predictions(spark, d).select("doc_id", "predicted", F.round("confidence", 3).alias("confidence"), "oov")
+
+
+@query(f"{_NB} SELECT doc_id, predicted FROM pred")
+def sink_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model is fitted, written, read back and used."""
+    docs = _lang_docs(spark, d)
+    terms = classify.term_table(docs, "doc_id", "text", "lang")
+    path = Scratch(spark, "model").base
+    files.write_model(classify.fit_bayes(terms), path)
+    return classify.predict_bayes(files.read_model(spark, path, classify.NaiveBayes), terms, "doc_id", fallback="en").select("doc_id", "predicted")
+
+
+@query(f"{_NB} SELECT label, round(ln(count(*) / sum(count(*)) OVER ()), 6) AS prior FROM (SELECT lang AS label FROM tok WHERE lang IS NOT NULL) GROUP BY label")
+def a_class_prior_empirical(spark: SparkSession, d: str) -> DataFrame:
+    return classify.fit_bayes(_lang_docs(spark, d), "doc_id", "text", "lang", uniform=False).classes.select("label", F.round("prior", 6).alias("prior"))
+
+
+@query(f"{_NB}, wrong AS (SELECT doc_id, lang AS truth, predicted FROM pred WHERE lang IS NOT NULL AND predicted <> lang) SELECT doc_id, truth, predicted, place, n_wrong FROM (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY truth) AS n_wrong FROM wrong) WHERE place <= 20")
+def a_failures(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.failures(_predictions(spark, d), "doc_id", "lang", "predicted").select("doc_id", "truth", "predicted", F.col("place").cast("long").alias("place"), "n_wrong")
+
+
 @query(f"{_NB} SELECT coalesce(lang, '(all)') AS truth, coalesce(predicted, '(all)') AS predicted, count(*) AS n FROM (SELECT lang, predicted FROM pred WHERE lang IS NOT NULL) GROUP BY CUBE (lang, predicted)")
 def a_pivot_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion_totals(metrics.confusion(_predictions(spark, d), "lang", "predicted"))
@@ -445,6 +502,28 @@ def a_prf_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(metrics.confusion(load(spark, d, GOLDEN), "evaluationLabel", "automaticCandidateLabel"))
 
 
+_CLASSES = ", ".join(f"'{c}'" for c in QUOTAS)
+
+
+@query(
+    f"WITH g AS (SELECT CASE WHEN \"evaluationLabel\" IN ({_CLASSES}) THEN \"evaluationLabel\" END AS t, CASE WHEN \"automaticCandidateLabel\" IN ({_CLASSES}) THEN \"automaticCandidateLabel\" END AS p FROM golden_set), "
+    f"c AS (SELECT unnest([{_CLASSES}]) AS label), x AS (SELECT label, count_if(t = label) AS support, count_if(p = label) AS claimed, count_if(t = label AND p = label) AS hit FROM c CROSS JOIN g GROUP BY label) "
+    "SELECT (SELECT count(*) FROM g) AS n, round(sum(hit) / (SELECT count(*) FROM g), 4) AS accuracy, round(avg(CASE WHEN claimed > 0 THEN hit / claimed ELSE 0 END), 4) AS macro_precision, round(avg(CASE WHEN support > 0 THEN hit / support ELSE 0 END), 4) AS macro_recall, "
+    "round(avg(CASE WHEN claimed + support > 0 THEN 2 * hit / (claimed + support) ELSE 0 END), 4) AS macro_f1 FROM x"
+)
+def a_prf_classes(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.class_summary(load(spark, d, GOLDEN), "evaluationLabel", "automaticCandidateLabel", list(QUOTAS))
+
+
+@query(
+    "SELECT \"goldenId\" AS golden_id, CASE WHEN \"humanLabel\" IS NOT NULL AND annotator IS NOT NULL THEN \"humanLabel\" ELSE \"automaticProposedLabel\" END AS label, "
+    "CASE WHEN \"humanLabel\" IS NOT NULL AND annotator IS NOT NULL THEN 'human_author (' || annotator || ')' ELSE 'automatic_proposal' END AS source FROM golden_set"
+)
+def c_eval_label(spark: SparkSession, d: str) -> DataFrame:
+    label, source = classify.evaluation_label("humanLabel", "annotator", "automaticProposedLabel")
+    return load(spark, d, GOLDEN).select(F.col("goldenId").alias("golden_id"), label.alias("label"), source.alias("source"))
+
+
 _NORM_LABEL = "regexp_replace(lower(trim({c})), '[\\s-]+', '_', 'g')"
 
 
@@ -493,6 +572,32 @@ def a_latency_pct(spark: SparkSession, d: str) -> DataFrame:
     return metrics.sorted_place_quantiles(load(spark, d, "events"), "value", _QS)
 
 
+@query("SELECT count(value) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM events")
+def a_latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.spread(load(spark, d, "events"), "value")
+
+
+_FEED = f"(SELECT *, {S.true('inbound')} AS i, {S.blank('in_response_to_tweet_id')} AS b, NOT {S.true('inbound')} AND lower(trim(author_id)) = '{BRAND.lower()}' AS mine FROM tweets)"
+
+
+@query(
+    f"WITH f AS (SELECT count_if(coalesce(mine, false)) AS n_replies, count_if(coalesce(mine, false) AND b) AS n_without_parent, count(DISTINCT CASE WHEN mine AND NOT b THEN trim(in_response_to_tweet_id) END) AS n_answered_ids, count_if(i) AS n_inbound, count_if(i AND contains(lower(coalesce(text, '')), '@{BRAND.lower()}')) AS n_mentions FROM {_FEED}), "
+    f"p AS (SELECT count(*) AS n_pairs, count_if(c.initial) AS n_initial, count_if(NOT c.initial) AS n_follow_up, count_if(n_replies > 1) AS n_multi FROM "
+    f"(SELECT trim(tweet_id) AS customer_id, {S.clean('text')} AS clean, {S.blank('in_response_to_tweet_id')} AS initial FROM tweets WHERE {S.true('inbound')}) c JOIN {_REPLIES} USING (customer_id) WHERE length(c.clean) + len(regexp_extract_all(c.clean, '[\\x{{10000}}-\\x{{10FFFF}}]')) >= 3) "
+    "SELECT f.*, p.*, n_replies - n_without_parent - n_answered_ids AS n_extra_replies, round(n_initial * 100 / n_pairs, 2) AS initial_percent, n_replies - n_pairs AS n_unmatched, n_mentions - n_pairs AS n_unmatched_mentions FROM f, p"
+)
+def a_pair_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.pair_statistics(load(spark, d, "tweets"), BRAND)
+
+
+@query(
+    f"WITH ids AS (SELECT DISTINCT trim(tweet_id) AS x FROM tweets WHERE trim(tweet_id) <> ''), r AS (SELECT i, CASE WHEN NOT b THEN trim(in_response_to_tweet_id) END AS up FROM {_FEED}) "
+    "SELECT count(*) AS n_rows, count_if(i) AS n_inbound, count_if(NOT i) AS n_outbound, count(up) AS n_answers, count(x) AS n_linked, count(DISTINCT x) AS n_parents FROM r LEFT JOIN ids ON up = x"
+)
+def a_linkage(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.linkage(load(spark, d, "tweets"))
+
+
 # Retrieval.
 
 _BM25 = (
@@ -511,6 +616,7 @@ def _bm25_sql(**parts: str) -> str:
 
 
 _EVAL = _bm25_sql(qid="item_id", tok=S.tokens_bm25("item_text"), src="eval_items", more="")
+_SELF_ALL = _bm25_sql(qid="doc_id", tok=S.tokens_bm25("text"), src=f"{DOCS} WHERE doc_id % 100 = 0", more="AND doc_id <> qid")
 _SELF = _bm25_sql(qid="doc_id", tok=S.tokens_bm25("text"), src=f"{DOCS} WHERE doc_id % 100 = 0 AND lang IS NOT NULL", more="AND doc_id <> qid")
 
 
@@ -550,6 +656,12 @@ def a_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.recall_at(hits, n, "qid", F.coalesce(F.col("lang") == F.col("q_lang"), F.lit(False)), KS)
 
 
+@query(f"{_SELF_ALL} SELECT (SELECT count(*) FROM {DOCS} WHERE doc_id % 100 = 0) AS n_queries, (SELECT count(*) FROM {DOCS} WHERE doc_id % 100 = 0) - count(DISTINCT qid) AS n_without_hits FROM r")
+def a_zero_results(spark: SparkSession, d: str) -> DataFrame:
+    hits, n = _self_hits(spark, d, "doc_id % 100 = 0")
+    return n.crossJoin(hits.agg(F.countDistinct("qid").alias("hit"))).select("n_queries", (F.col("n_queries") - F.col("hit")).alias("n_without_hits"))
+
+
 def _exact_dups(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """The query and hit ids of ``hits`` with their trimmed lower-case texts ``u`` and ``t``."""
     docs = load(spark, d, DOCS)
@@ -565,7 +677,6 @@ def a_exact_dup_rate(spark: SparkSession, d: str) -> DataFrame:
     return _exact_dups(spark, d, hits).agg(F.countDistinct("qid").alias("n_queries"), F.countDistinct(F.when(F.col("t") == F.col("u"), F.col("qid"))).alias("n_exact"))
 
 
-_SELF_ALL = _bm25_sql(qid="doc_id", tok=S.tokens_bm25("text"), src=f"{DOCS} WHERE doc_id % 100 = 0", more="AND doc_id <> qid")
 
 
 # The same over every hundredth document, whatever its language; those without any hit are counted too.
@@ -578,6 +689,28 @@ def a_exact_dup_rate_all(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(exact)
 
 
+_PAIR_TEXT = f"FROM (SELECT row_id AS doc_id, \"customerTextClean\" AS text FROM {PAIRS})"
+_FIELDS = ["customerTweetId", "supportTweetId", "customerCreatedAt", "supportCreatedAt", "customerTextClean", "customerTextRaw", "supportTextClean", "supportTextRaw", "allSupportRepliesCount", "isInitialInquiry"]
+_OVER_PAIRS = _bm25_sql(qid="item_id", tok=S.tokens_bm25("item_text"), src="eval_items", more="").replace(f"FROM {DOCS}", _PAIR_TEXT)
+
+
+@query(f"{_OVER_PAIRS} SELECT qid AS item_id, \"rank\", doc_id AS row_id, score, " + ", ".join(f'"{c}"' for c in _FIELDS) + f" FROM r JOIN {PAIRS} ON row_id = doc_id WHERE \"rank\" <= 3")
+def r_api_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Search over the pairs with every stored field of a hit."""
+    pairs = load(spark, d, PAIRS)
+    index = retrieval.fit(pairs.select(F.col("row_id").alias("doc_id"), F.col("customerTextClean").alias("text")))
+    hits = retrieval.search(index, load(spark, d, "eval_items"), "item_id", "item_text", 3)
+    return hits.withColumnRenamed("doc_id", "row_id").join(pairs.select("row_id", *_FIELDS), "row_id").select("item_id", F.col("rank").cast("long").alias("rank"), "row_id", "score", *_FIELDS)
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(dl), 4) AS avg_dl, (SELECT count(*) FROM {_IDF}) AS n_terms, (SELECT count(*) FROM {_TF}) AS n_postings FROM {_DL}")
+def r_build(spark: SparkSession, d: str) -> DataFrame:
+    """What an index build reports."""
+    index = retrieval.fit(load(spark, d, DOCS))
+    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    return index.stats.select("n_docs", F.round("avg_dl", 4).alias("avg_dl")).crossJoin(n(index.terms, "n_terms")).crossJoin(n(index.postings, "n_postings"))
+
+
 _LEAK = _bm25_sql(qid='"goldenId"', tok=S.tokens_bm25('"customerTextClean"'), src="golden_set", more="").replace(f"FROM {DOCS}", f"FROM (SELECT row_id AS doc_id, \"customerTextClean\" AS text FROM {PAIRS})")
 
 
@@ -653,6 +786,21 @@ def m_majority(spark: SparkSession, d: str) -> DataFrame:
     return classify.majority(load(spark, d, GOLDEN), "evaluationLabel", "goldenId")
 
 
+_MAJORITY = 'SELECT label, round(n / total, 4) AS share FROM (SELECT "evaluationLabel" AS label, count(*) AS n, min("goldenId") AS seen, sum(count(*)) OVER () AS total FROM golden_set WHERE "evaluationLabel" IS NOT NULL GROUP BY 1) ORDER BY n DESC, seen LIMIT 1'
+
+
+@query(f'SELECT "goldenId" AS golden_id, label AS predicted, share AS confidence FROM golden_set, ({_MAJORITY})')
+def m_majority_predict(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d, GOLDEN).withColumnRenamed("goldenId", "golden_id")
+    return classify.predict_majority(classify.majority(g, "evaluationLabel", "golden_id"), g, "golden_id")
+
+
+@query('SELECT label, count(*) AS n FROM (SELECT "evaluationLabel" AS label FROM golden_set UNION ALL SELECT "automaticCandidateLabel" FROM golden_set) GROUP BY label')
+def so_union_all(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d, GOLDEN)
+    return g.select(F.col("evaluationLabel").alias("label")).union(g.select("automaticCandidateLabel")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query('SELECT "evaluationLabel" AS label FROM golden_set UNION SELECT "automaticCandidateLabel" FROM golden_set')
 def so_union_labels(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d, GOLDEN)
@@ -684,3 +832,14 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     q = counted.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT event_id, event_type, coalesce(props, '') AS props FROM events")
+def stream_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream appended to JSON lines and read back."""
+    batch = load(spark, d, "events").select("event_id", "event_type", "props")
+    scratch = Scratch(spark, "jsonl-stream")
+    batch.write.parquet(f"{scratch.base}/in")
+    stream = ingest.read_stream(spark, f"{scratch.base}/in", batch, files_per_trigger=1000)
+    ingest.write_jsonl_stream(stream, f"{scratch.base}/out", f"{scratch.base}/state").awaitTermination()
+    return files.read_jsonl(spark, f"{scratch.base}/out", batch.schema).select("event_id", "event_type", F.coalesce("props", F.lit("")).alias("props"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.functions.text import ENTITIES, JOINED_BM25, JOINED_TFIDF, STOPWORDS
+from threadloom.functions.text import ENTITIES, JOINED_BM25, JOINED_TFIDF, STOPWORDS, keyword_parts
 
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LINK = r"https?://t\.co/[A-Za-z0-9]+"
@@ -76,4 +76,6 @@ def unigrams(x: str) -> str:
 
 
 def keyword(x: str, words: list[str]) -> str:
-    return f"regexp_matches(coalesce({x}, ''), {q('(?i)(?:^|[^A-Za-z0-9_])(?:' + '|'.join((chr(92) + 's+').join(w.split()) for w in words) + ')(?:[^A-Za-z0-9_]|$)')})"
+    inner, other = keyword_parts(words)
+    parts = [f"(?:{inner})(?:[^A-Za-z0-9_]|$)"] * bool(inner) + [f"(?:{other})[A-Za-z0-9_]"] * bool(other)
+    return f"regexp_matches(coalesce({x}, ''), {q('(?i)(?:^|[^A-Za-z0-9_])(?:' + '|'.join(parts) + ')')})"

@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     chosen = getattr(spark.sparkContext, "_threadloom_dir", None)
     if chosen is None:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 
@@ -36,3 +37,28 @@ def reply_stream(customers: DataFrame, replies: DataFrame, late: str = "1 day",
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run a batch function on all available data, micro-batch by micro-batch."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_jsonl_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All available data appended to a folder as JSON lines, each micro-batch once."""
+    return stream.writeStream.format("json").option("ignoreNullFields", False).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Counts the rows and micro-batches of the session's streams while it is registered."""
+
+    def __init__(self) -> None:
+        self.rows = self.batches = self.ended = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended += 1
