@@ -87,9 +87,13 @@ def conversations(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession, "conversations")
     v = scratch.save(message_rows(df, row_id))
-    holders = v.where("sid is not null").select(F.col("sid").alias("irt"), F.col("cid").alias("up"), F.col("row_id").alias("up_row"))
-    edges = scratch.save(v.where("irt is not null").select("cid", "irt", "opens").join(holders, "irt").select("cid", "opens", "up", "up_row"))
-    answered = edges.groupBy("cid").agg(F.min(F.struct("up_row", "up")).alias("u")).select("cid", F.col("u.up").alias("up"))
+    # An answer points to the first holder of the reply; further holders are tied to that one, if anything answers.
+    held = v.where("sid is not null").select(F.col("sid").alias("irt"), "cid", F.struct(F.col("row_id").alias("up_row"), F.col("cid").alias("up")).alias("u"))
+    first = scratch.save(held.groupBy("irt").agg(F.min("u").alias("u"), F.count(F.lit(1)).alias("n")).select("irt", "u.up", "n"))
+    edges = scratch.save(v.where("irt is not null").select("cid", "irt", "opens").join(first, "irt").select("cid", "irt", "opens", "up", "n"))
+    several = edges.where("n > 1").select("irt", "up").distinct()
+    ties = held.select("cid", "irt").join(several, "irt").where("cid <> up").select("cid", "up")
+    answered = edges.select("cid", "up")
     own = F.array(F.struct(F.col("at").alias("t"), F.col("row_id").alias("r")))
     root = F.col("opens") | F.col("up").isNull()
     s = v.join(answered, "cid", "left").select("cid", "sid", "opens", "bad", F.when(root, F.col("cid")).otherwise(F.col("up")).alias("ptr"), root.alias("done"), own.alias("key"))
@@ -108,7 +112,7 @@ def conversations(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     rooted = s.where("done")
     # A link that no pointer follows joins two trees, and neither is whole.
     place = s.select("cid", F.when(F.col("done"), F.col("ptr")).alias("tree"))
-    other = edges.join(answered.select("cid", F.col("up").alias("main")), "cid").where("opens or up <> main")
+    other = edges.where("opens").select("cid", "up").union(ties)
     ends = other.select("cid", "up").join(place, "cid").withColumnRenamed("tree", "t1").join(place.select(F.col("cid").alias("up"), F.col("tree").alias("t2")), "up")
     crossed = ends.where(~F.col("t1").eqNullSafe(F.col("t2")))
     broken = crossed.select(F.col("t1").alias("ptr")).union(crossed.select("t2")).where("ptr is not null").distinct()

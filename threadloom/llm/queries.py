@@ -69,6 +69,10 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.sessions_by_gap(load(spark, d, "tweets"))
 
 
+def p5_sessions_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sessions_of(sessions.pair_messages(load(spark, d, PAIRS)))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(load(spark, d, PAIRS), ["customerTextClean", "supportTextClean"])
 

@@ -65,12 +65,26 @@ def calibrated_gap(rows: DataFrame, quantile: float = QUANTILE) -> int:
     return int(min(max(got or 0, BOUNDS[0] * 1_000_000), BOUNDS[1] * 1_000_000))
 
 
+def pair_messages(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``(id, who, at, speaker)`` of the customer message and the reply of each pair row."""
+    who = F.concat_ws("|", F.trim("customerAuthorId"), F.lower(F.trim("supportAuthorId")))
+    side = lambda c, t, s: F.struct(F.trim(c).alias("id"), created_micros(t).alias("at"), F.lit(s).alias("speaker"))
+    rows = pairs.select(who.alias("who"), F.explode(F.array(side("customerTweetId", "customerCreatedAt", "customer"), side("supportTweetId", "supportCreatedAt", "support"))).alias("m"))
+    rows = rows.select("m.id", "who", "m.at", "m.speaker").where("id <> '' and at is not null and who <> ''")
+    return rows.groupBy("id").agg(F.min(F.struct("at", "who", "speaker")).alias("m")).select("id", "m.*")
+
+
 def sessions_by_gap(feed: DataFrame, gap: int | None = None) -> DataFrame:
-    """``(session_id, turn_no, tweet_id, speaker)``; ``gap`` in microseconds overrides calibration."""
-    spark = feed.sparkSession
+    """``(session_id, turn_no, tweet_id, speaker)`` of a raw feed; ``gap`` in microseconds overrides calibration."""
+    return sessions_of(messages(feed), gap)
+
+
+def sessions_of(said: DataFrame, gap: int | None = None) -> DataFrame:
+    """The sessions of messages ``(id, who, at, speaker)``."""
+    spark = said.sparkSession
     ship(spark)
     scratch = Scratch(spark, "sessions")
-    rows = scratch.save(messages(feed))
+    rows = scratch.save(said)
     if gap is None:
         gap = calibrated_gap(numbered(rows, "who", ["at", "id"], ["at", "id"], scratch).withColumnRenamed("root", "who"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
