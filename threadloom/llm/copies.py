@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import arrays as A
-from threadloom.llm.groups import components, salt, slots
+from threadloom.llm.groups import components, salt, salts_for, slots
+from threadloom.llm.near import texts_near_nodes
 from threadloom.session import Scratch, ship
 
 _BREAK = re.compile(r"[;|\r\n\u2028\u2029\x85]")
@@ -144,13 +145,17 @@ def copies(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
     scratch = Scratch(spark, "copies")
     source = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
     keyed = scratch.save(record_keys(df, text, row_id))
+    salts = salts_for(keyed)
     # Ordered and order-free keys that meet in a record are one key; few rows are records.
     pairs = keyed.where("free is not null").select(F.col("k").alias("a"), F.col("free").alias("b")).distinct()
     roots = components(pairs, scratch)
     # The map covers records' keys only; rows without an entry keep their own key.
-    keyed = keyed.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("row_id", F.coalesce("root", "k").alias("k")).withColumn("salt", salt("row_id"))
+    keyed = keyed.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("row_id", F.coalesce("root", "k").alias("k")).withColumn("salt", salt("row_id", salts))
     found = slots(keyed, ["k"]).where("copies > 1")
     members = scratch.save(keyed.join(found, ["k", "salt"]).select("row_id", "salt", "first_id"))
+    # Texts of rows without a copy stay where they are: a bitmap of fixed size drops most of them.
+    numbered = source.select(F.col("row_id").alias("node"), "text").where("node is not null")
+    source = texts_near_nodes(numbered, members.select(F.col("row_id").alias("node"))).withColumnRenamed("node", "row_id")
     firsts = members.select("first_id", "salt").distinct()
     texts = firsts.join(source.withColumnRenamed("row_id", "first_id"), "first_id").select("first_id", "salt", F.col("text").alias("first_text")).dropDuplicates(["first_id", "salt"])
     # A hot record is spread over its salts: each slot meets its own copy of the first row's text.

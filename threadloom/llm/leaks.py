@@ -2,8 +2,9 @@
 
 Method: a broadcast hash set of the items' normalised ``n``-word windows; training texts are scanned
 window by window with rolling hashes, each hit is verified word by word, and leaked spans or documents
-can be removed. The set is broadcast only while it has at most ``MAX_WINDOWS`` windows (checked by a
-count); beyond that the windows are joined through a shuffle, with the same result.
+can be removed. The set is held as a few arrays (about 100 bytes a window) and broadcast only while it has
+at most ``MAX_WINDOWS`` windows (checked by a count), 50 MB; beyond that the windows are joined through a
+shuffle, with the same result.
 
 Defined results: null, empty and short texts match nothing; items of fewer than ``n`` words match
 nothing; repeated items and documents give one row per pair of ids; empty tables give none.
@@ -22,11 +23,11 @@ from threadloom.llm import arrays as A
 from threadloom.session import ship
 
 WORDS = 12
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 500_000
 DDL = "doc_id long, item_id long, first_char long, last_char long"
 
 
-def _word_list(t: A.Texts, f: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, n: int) -> list[bytes]:
+def _word_list(f: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, n: int) -> list[bytes]:
     return [f[start[k] : end[k]].tobytes() for k in range(a, a + n)]
 
 
@@ -40,18 +41,22 @@ def windows(t: A.Texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 class Items:
-    """The items' windows by hash, for the broadcast."""
+    """The items' windows by hash, for the broadcast: one array of characters, word places and window starts."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int):
         t = A.texts_of(pa.array(texts, pa.large_string()))
-        row, start, end, f, first, h = windows(t, n)
+        row, self.start, self.end, self.chars, first, h = windows(t, n)
         order = np.argsort(h, kind="stable")
-        self.n, self.hash, self.item = n, h[order], np.array(ids, np.int64)[row[first[order]]] if len(first) else np.zeros(0, np.int64)
-        self.words = [_word_list(t, f, start, end, int(k), n) for k in first[order]]
+        self.n, self.hash, self.first = n, h[order], first[order]
+        self.item = np.array(ids, np.int64)[row[self.first]] if len(first) else np.zeros(0, np.int64)
 
     def __len__(self) -> int:
         return len(self.hash)
 
+    def same(self, x: int, f: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> bool:
+        """Whether window ``x`` has the words of a text from its word ``k`` on."""
+        return _word_list(self.chars, self.start, self.end, int(self.first[x]), self.n) == _word_list(f, start, end, k, self.n)
+
 
 def _scan(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +70,7 @@ def _scan(shared) -> object:
                 out = []
                 for w in np.flatnonzero(hi > lo):
                     k = int(first[w])
-                    here = _word_list(t, f, start, end, k, items.n)
-                    out += [(ids[row[k]], items.item[x], start[k] - t.start[row[k]], end[k + items.n - 1] - t.start[row[k]]) for x in range(lo[w], hi[w]) if items.words[x] == here]
+                    out += [(ids[row[k]], items.item[x], start[k] - t.start[row[k]], end[k + items.n - 1] - t.start[row[k]]) for x in range(lo[w], hi[w]) if items.same(x, f, start, end, k)]
                 if out:
                     yield pa.record_batch([pa.array(np.array(c, np.int64)) for c in zip(*out)], names=["doc_id", "item_id", "first_char", "last_char"])
 
@@ -82,7 +86,7 @@ def _spell(n: int):
                 t = A.texts_of(text)
                 row, start, end, f, first, h = windows(t, n)
                 ids = batch.column("id").slice(i, j - i).to_numpy(zero_copy_only=False)
-                spelled = [b"\x00\x00\x00\x00".join(_word_list(t, f, start, end, int(k), n)) for k in first]
+                spelled = [b"\x00\x00\x00\x00".join(_word_list(f, start, end, int(k), n)) for k in first]
                 yield pa.record_batch(
                     [pa.array(ids[row[first]]), pa.array(A.signed(h)), pa.array(spelled, pa.binary()), pa.array(start[first] - t.start[row[first]]), pa.array(end[first + n - 1] - t.start[row[first]])],
                     names=["id", "h", "w", "first_char", "last_char"],
