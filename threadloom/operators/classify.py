@@ -15,10 +15,13 @@ MIN_DF, MAX_SHARE, ALPHA = 3, 0.85, 0.5
 
 @dataclass
 class Terms:
-    """A tokenised corpus, written once: ``(key, label, n)`` per text and ``(key, term, tf)`` of its terms."""
+    """A corpus tokenised once: ``(key, label)`` per text, the written ``(key, term, tf)`` and, once a model is
+    fitted on it, its written vectors and the vocabulary they are of."""
 
     docs: DataFrame
     counts: DataFrame
+    weights: DataFrame | None = None
+    vocab: DataFrame | None = None
 
 
 def term_table(df: DataFrame, key: str, text: str, label: str | None = None) -> Terms:
@@ -29,9 +32,9 @@ def term_table(df: DataFrame, key: str, text: str, label: str | None = None) ->
     scratch = Scratch(df.sparkSession, "terms")
     name = F.col(label) if label else F.lit(None).cast("string")
     words = df.select(F.col(key).alias("key"), name.alias("label"), unigrams_tfidf(text).alias("u"))
-    tokens = scratch.save(words.select("key", "label", F.concat("u", bigrams("u")).alias("tokens")))
-    counts = scratch.save(tokens.select("key", F.explode("tokens").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return Terms(tokens.select("key", "label"), counts)
+    tokens = words.select("key", F.explode(F.concat("u", bigrams("u"))).alias("term"))
+    counts = scratch.save(tokens.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return Terms(df.select(F.col(key).alias("key"), name.alias("label")), counts)
 
 
 def vocabulary(terms: Terms, min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
@@ -65,7 +68,8 @@ def fit_bayes(df: DataFrame | Terms, key: str = "key", text: str = "text", label
     scratch = Scratch(terms.docs.sparkSession, "bayes")
     vocab = scratch.save(vocabulary(terms))
     named = terms.docs.where("label is not null")
-    sums = scratch.save(vectors(terms, vocab).join(named, "key").groupBy("label", "term").agg(F.sum("w").alias("s")))
+    terms.weights, terms.vocab = scratch.save(vectors(terms, vocab)), vocab
+    sums = scratch.save(terms.weights.join(named, "key").groupBy("label", "term").agg(F.sum("w").alias("s")))
     totals = sums.groupBy("label").agg(F.sum("s").alias("t"))
     v = vocab.agg(F.count(F.lit(1)).alias("v"))
     n = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -80,7 +84,7 @@ def fit_bayes(df: DataFrame | Terms, key: str = "key", text: str = "text", label
 def predict_bayes(model: NaiveBayes, df: DataFrame | Terms, key: str, text: str = "text", fallback: str = "") -> DataFrame:
     """``(key, predicted, confidence, oov)``; a text without known terms gets the fallback at 0.5."""
     terms = df if isinstance(df, Terms) else term_table(df, key, text)
-    x = vectors(terms, model.vocab)
+    x = terms.weights if terms.vocab is model.vocab else vectors(terms, model.vocab)
     # Each seen cell adds its difference from the class default; the defaults add by the text's weight. A text's
     # gains stay one row with a small map by class: texts are never multiplied by classes.
     gains = model.cells.join(model.classes.select("label", "default_logp"), "label")
