@@ -776,7 +776,18 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.quota_sample(load(spark, d, GOLDEN), "samplingStratum", "isAmbiguousCase", "goldenId", QUOTAS, 0.35, SEED).select(F.col("goldenId").alias("golden_id"), F.col("samplingStratum").alias("stratum"))
 
 
-@query()
+_M = "4294967295::HUGEINT"
+_SHUFFLE = (
+    f"WITH RECURSIVE src AS (SELECT list(\"goldenId\" ORDER BY \"goldenId\") AS a, count(*) AS n FROM golden_set WHERE \"goldenId\" IS NOT NULL), "
+    f"st(a, last, s) AS (SELECT a, n - 1, {SEED}::HUGEINT FROM src UNION ALL SELECT [CASE WHEN i = last + 1 THEN a[o + 1] WHEN i = o + 1 THEN a[last + 1] ELSE a[i] END FOR i IN range(1, len(a) + 1)], last - 1, s2 FROM "
+    f"(SELECT a, last, s2, CAST(floor((xor(y, y >> 14) & {_M}) / 4294967296.0 * (last + 1)) AS BIGINT) AS o FROM "
+    f"(SELECT a, last, s2, xor(x, (x + ((xor(x, x >> 7) * (x | 61)) & {_M})) & {_M}) AS y FROM "
+    f"(SELECT a, last, s2, (xor(s2, s2 >> 15) * (s2 | 1)) & {_M} AS x FROM (SELECT a, last, (s + 1831565813) & {_M} AS s2 FROM st WHERE last > 0))))) "
+    "SELECT a[i] AS \"goldenId\", i AS place FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM st WHERE last <= 0)"
+)
+
+
+@query(_SHUFFLE)
 def shuffle_fy(spark: SparkSession, d: str) -> DataFrame:
     return sampling.exact_shuffle(load(spark, d, GOLDEN), "goldenId", SEED)
 
