@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 
-from threadloom.operators import classify, metrics, pairing, ranking, retrieval, rules, sampling
+from threadloom.operators import bulk, classify, metrics, pairing, ranking, retrieval, rules, sampling
 from threadloom.plans.catalog import QUERIES
 from threadloom.sources import files
 from threadloom.streaming import ingest
@@ -202,3 +203,35 @@ def test_progress_counts_the_rows_of_a_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.rows == 50
+
+
+@pytest.mark.parametrize("piece, share", [(200_000, 0.006), (40, 0.006), (200_000, 0.0), (200_000, 2.0)])
+def test_bulk_search_gives_the_hits_of_the_join(spark, monkeypatch, piece, share):
+    rng = random.Random(7)
+    words = [f"w{int(40 * rng.random() ** 3)}" for _ in range(400)]
+    texts = [" ".join(rng.sample(words, rng.randint(1, 8))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:40], "w1 w2", "w1 w2", "w1 w2", None, ""])], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*texts[:30], "w1", "w1 w1", "none", None])], "qid string, q string")
+    for name, value in {"PIECE_TERMS": piece, "COMMON_SHARE": share, "QUERY_BLOCK": 7, "DOC_BLOCK": 16, "FIRST_DOCS": 4, "MORE_DOCS": 32, "PENDING": 50}.items():
+        monkeypatch.setattr(bulk, name, value)
+    index = retrieval.fit(df)
+    cols = ["qid", "doc_id", "score", "rank"]
+    want = sorted(rows(retrieval.search(index, q, "qid", "q", 6).select(cols)))
+    assert sorted(rows(bulk.search(index, q, "qid", "q", 6).select(cols))) == want and want
+    assert rows(bulk.search(index, q.where("qid is null"), "qid", "q", 6)) == []
+
+
+def test_leak_search_moves_no_row_for_each_pair_and_golden_item(spark, tmp_path):
+    spark.range(1500).selectExpr("id as row_id", "concat('battery drains fast x', id % 50) as customerTextClean", "cast(id as string) as customerTweetId").write.parquet(str(tmp_path / "applesupport_pairs.parquet"))
+    spark.range(300).selectExpr("concat('g', id) as goldenId", "concat('battery drains x', id % 50) as customerTextClean", "cast(id as string) as tweetId").write.parquet(str(tmp_path / "golden_set.parquet"))
+    sc = spark.sparkContext
+
+    def moved():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = moved()
+    # Of 30 pairs with the same text the first 20 are found, by row id; items 0 to 299 hold the first six.
+    assert rows(QUERIES["j_leak_search"](spark, str(tmp_path))) == [(6000, 300, 300)]
+    assert sum(n for stage, n in moved().items() if stage not in before) < 1500 * 300 / 10

@@ -5,7 +5,7 @@ doc_id, tf, dl)``, documents ``(doc_id, dl)`` and terms ``(term, df, idf)``. Pos
 ``search`` answers all queries at once. Query terms, with their weights, are broadcast to the postings while
 they are at most ``QUERY_TERMS`` (checked by a count); then a frequent term is no hot key, and a document's
 scores add up where its postings lie. More query terms meet the postings by an equi-join on term and slot, so
-that a frequent term is spread over ``SLOTS`` tasks.
+that a frequent term is spread over ``SLOTS`` tasks. Where queries grow with the corpus, ``bulk.search`` moves less.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ class Index:
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame  # one row: n_docs, avg_dl
+    tokens: DataFrame | None = None  # the written (doc_id, tokens) of ``fit``; an index read from a folder has none
 
 
 def token_rows(df: DataFrame, key: str, text: str, tokenize=tokens_bm25) -> DataFrame:
@@ -55,7 +56,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = MI
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tokens.repartition(n, "doc_id").select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
-    return Index(postings, docs, terms, stats)
+    return Index(postings, docs, terms, stats, tokens)
 
 
 def scores(index: Index, queries: DataFrame, query_id: str, text: str, k1: float = K1, b: float = B) -> DataFrame:

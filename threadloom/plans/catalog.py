@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import classify, metrics, pairing, ranking, retrieval, rules, sampling
+from threadloom.operators import bulk, classify, metrics, pairing, ranking, retrieval, rules, sampling
 from threadloom.plans import sqltext as S
 from threadloom.session import Scratch, load
 from threadloom.sources import files
@@ -718,7 +718,7 @@ _LEAK = _bm25_sql(qid='"goldenId"', tok=S.tokens_bm25('"customerTextClean"'), sr
 def j_leak_search(spark: SparkSession, d: str) -> DataFrame:
     pairs, golden = load(spark, d, PAIRS), load(spark, d, GOLDEN)
     index = retrieval.fit(pairs.select(F.col("row_id").alias("doc_id"), F.col("customerTextClean").alias("text")))
-    hits = retrieval.search(index, golden, "goldenId", "customerTextClean", 20)
+    hits = bulk.search(index, golden, "goldenId", "customerTextClean", 20)
     both = hits.join(pairs.select(F.col("row_id").alias("doc_id"), "customerTweetId"), "doc_id").join(golden.select("goldenId", F.trim("tweetId").alias("held")), "goldenId")
     return both.agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("goldenId").alias("n_queries"), F.count_if(F.col("customerTweetId") == F.col("held")).alias("n_leaked"))
 
